@@ -8,6 +8,8 @@ MODULES = {
     "op1_simhash": "simhash",
     "op2_langid": "langid",
     "op8_quality": "quality",
+    "op9_sharding": "sharding",
+    "op10_mixing": "mixing",
 }
 
 
@@ -17,4 +19,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    modules = {name: importlib.import_module(f".{module}", __package__) for name, module in MODULES.items()}
+    return {name: m.ORACLE for name, m in modules.items() if hasattr(m, "ORACLE")}
