@@ -7,6 +7,8 @@ import importlib
 MODULES = {
     "op1_simhash": "simhash",
     "op2_langid": "langid",
+    "op3_topk": "topk",
+    "op7_ann": "ann",
     "op8_quality": "quality",
     "op9_sharding": "sharding",
     "op10_mixing": "mixing",
