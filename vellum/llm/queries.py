@@ -8,6 +8,7 @@ MODULES = {
     "op1_simhash": "simhash",
     "op2_langid": "langid",
     "op3_topk": "topk",
+    "op4_packing": "packing",
     "op7_ann": "ann",
     "op8_quality": "quality",
     "op9_sharding": "sharding",
