@@ -9,6 +9,7 @@ MODULES = {
     "op2_langid": "langid",
     "op3_topk": "topk",
     "op4_packing": "packing",
+    "op5_lm": "lm",
     "op7_ann": "ann",
     "op8_quality": "quality",
     "op9_sharding": "sharding",
