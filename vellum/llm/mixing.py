@@ -138,21 +138,22 @@ def _few(targets: DataFrame) -> bool:
     return targets.count() <= 10_000
 
 
-def take_mix(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """`docs` as mixed: each row as often as the mix takes it. Rows sharing an id are told apart by source and text.
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """`docs` as mixed: each row as often as the mix takes it, with all its columns.
 
-    A row's copies join it back on the id, source and number of words.
+    A row finds its copies by id, source and number of words; rows alike in all three share theirs,
+    the first of them by text taking one more where they don't divide.
     """
-    text, source = options.get("text_col", "text"), options.get("source_col", "source")
-    took = mix(docs, id_col=id_col, **options).groupBy("id", "source", "size").agg(F.sum("copies").alias("k"), F.count("*").alias("n"))
-    took = took.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "k", "n")
-    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
-    # Repeats of one (id, source, size) share their copies: the first k mod n of them take one more.
-    nth = F.row_number().over(Window.partitionBy(id_col, source, "_size").orderBy(F.xxhash64(F.col(text))))
-    rows = docs.withColumn("_size", size).withColumn("_n", nth)
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    each = F.floor(F.col("k") / F.col("n")) + (F.col("_n") <= F.col("k") % F.col("n")).cast("long")
-    return rows.join(took, same).where(each > 0).withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), each))).select(docs.columns)
+    took = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy("id", "source", "size").agg(F.sum("copies").alias("_k"), F.count("*").alias("_rows"))
+    took = took.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_k", "_rows").where("_k > 0")
+    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    rows = docs.withColumn("_size", size)
+    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
+    single = rows.join(took.where("_rows = 1"), same).withColumn("_each", F.col("_k"))
+    nth = F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64(F.col(text_col))))
+    several = rows.join(took.where("_rows > 1"), same).withColumn("_nth", nth)
+    several = several.withColumn("_each", F.floor(F.col("_k") / F.col("_rows")) + (F.col("_nth") <= F.col("_k") % F.col("_rows")).cast("long")).where("_each > 0").drop("_nth")
+    return single.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_each"))).select(docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

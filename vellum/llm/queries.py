@@ -10,6 +10,7 @@ MODULES = {
     "op3_topk": "topk",
     "op4_packing": "packing",
     "op5_lm": "lm",
+    "op6_repeats": "repeats",
     "op7_ann": "ann",
     "op8_quality": "quality",
     "op9_sharding": "sharding",
@@ -18,8 +19,7 @@ MODULES = {
 
 
 def queries() -> dict:
-    found = {name: importlib.import_module(f".{module}", __package__).query for name, module in MODULES.items()}
-    return found
+    return {name: importlib.import_module(f".{module}", __package__).query for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict:

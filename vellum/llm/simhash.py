@@ -198,9 +198,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_co
     apart and all stay. Columns are those of `docs`.
     """
     groups = near_duplicates(docs, words, radius, None, id_col, text_col)
-    stay = groups.where("id = component").select(F.col("id").alias(id_col)).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(stay, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    stay = groups.where("id = component").groupBy(F.col("id").alias(id_col)).count()
+    once = docs.join(stay.where("count = 1"), id_col, "left_semi")
+    often = docs.join(stay.where("count > 1"), id_col, "left_semi").dropDuplicates([id_col])
+    return once.unionByName(often).unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
