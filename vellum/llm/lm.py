@@ -32,8 +32,8 @@ GAIN = 2.0
 ALPHABET = 256
 TASK_GRAMS = 1 << 21  # distinct grams a task holds before it passes them on
 BATCH_BYTES = 1 << 21
-SHARD_ENTRIES = 3_000_000  # of the tree, broadcast at once (12 bytes each)
-FREQUENT = 1 << 18  # words whose counts are broadcast; others' are joined
+SHARD_ENTRIES = 1_500_000  # of the tree, broadcast at once (16 bytes each)
+FREQUENT = 1 << 17  # words whose counts are broadcast; others' are joined
 END = b"\n"
 
 
@@ -240,9 +240,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = total + ends, distinct + (1 if ends else 0)
     floor = float(np.log10((n or 1) * (v + 1)))
-    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toPandas()
-    top = top.sort_values("word")
-    frequent = spark.sparkContext.broadcast((top["word"].to_numpy(np.int64), top["n"].to_numpy(np.int64)))
+    top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
+    top = [c.to_numpy() for c in top.sort_by("word").columns]
+    frequent = spark.sparkContext.broadcast((top[0], top[1]))
     end_value = float(np.log10(ends + 1)) - floor
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
@@ -252,8 +252,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         part = model
         if latest is not None:
             part = model.where((F.col("depth") == 0) | F.expr("shiftright(context, 8 * (depth - 1))").isin(np.flatnonzero(latest).tolist()))
-        got = part.toPandas()
-        piece = spark.sparkContext.broadcast(SuffixTree(tuple(got[c].to_numpy(t) for c, t in (("depth", np.int64), ("context", np.int64), ("symbol", np.int64), ("logp", np.float64))), latest))
+        columns = part.select("depth", "context", "symbol", "logp").toArrow().columns
+        piece = spark.sparkContext.broadcast(SuffixTree(tuple(c.to_numpy() for c in columns), latest))
+        del columns
 
         def run(batches: Iterator[pa.RecordBatch], first=not i, piece=piece) -> Iterator[pa.RecordBatch]:
             common, common_n = frequent.value
