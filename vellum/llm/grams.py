@@ -42,22 +42,28 @@ def sample_per_class(rows: DataFrame, label: str, per_class: int, order: Column)
     return rows.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank")
 
 
-def packed_presence(rows: DataFrame, label: str, text: str, features, width: int) -> tuple[list, np.ndarray]:
-    """Labels and bit-packed presence rows of a bounded sample, computed on the executors.
+def present_places(rows: DataFrame, label: str, text: str, features, width: int) -> tuple[list[str], list[np.ndarray]]:
+    """Labels and sorted present places of a bounded sample, computed on the executors.
 
-    `features(text, seen)` gives the present places. A row takes width / 8 bytes whatever its text.
+    `features(text, seen)` gives the places. A row is sent as its places or, where smaller, as width
+    bits, so it takes width / 8 bytes at most whatever its text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(width, bool)
         for b in batches:
-            bits = []
+            packed = []
             for text in b.column(1).to_pylist():
-                row = np.zeros(width, bool)
-                row[features(text or b"", seen)] = True
-                bits.append(np.packbits(row).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], ["label", "bits"])
-
-    got = rows.select(F.col(label).cast("string").alias("label"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "label string, bits binary").collect()
-    got.sort(key=lambda r: (r["label"], bytes(r["bits"])))
-    return [r["label"] for r in got], np.array([np.frombuffer(r["bits"], np.uint8) for r in got], np.uint8).reshape(len(got), -1)
+                places = features(text or b"", seen)
+                if 32 * len(places) < width:
+                    packed.append(b"p" + places.astype("<i4").tobytes())
+                else:
+                    row = np.zeros(width, bool)
+                    row[places] = True
+                    packed.append(b"b" + np.packbits(row).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["label", "packed"])
+
+    got = rows.select(F.col(label).cast("string").alias("label"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "label string, packed binary").toArrow()
+    both = sorted(zip(got["label"].to_pylist(), got["packed"].to_pylist()))  # whatever order tasks end in
+    found = [np.frombuffer(x, "<i4", -1, 1) if x[:1] == b"p" else np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, -1, 1), count=width)).astype(np.int32) for _, x in both]
+    return [x for x, _ in both], found

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_remainder, table
-from .grams import SPECTRUM, packed_presence, sample_per_class, spectrum
+from .grams import SPECTRUM, present_places, sample_per_class, spectrum
 
 PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 64
@@ -54,19 +54,21 @@ def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col
     """Fit on rows with a language and text; rows without either are left out. No rows: no language."""
     usable = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
     sample = sample_per_class(usable, lang_col, per_language, F.struct(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)))
-    labels, bits = packed_presence(sample, lang_col, text_col, spectrum, SPECTRUM)
+    labels, places = present_places(sample, lang_col, text_col, spectrum, SPECTRUM)
     languages = sorted(set(labels))
     if not languages:
         return StringKernelModel([], np.zeros((SPECTRUM, 0), np.float32), np.zeros(0))
     y = np.array([languages.index(x) for x in labels])
 
-    def unit(rows: np.ndarray) -> np.ndarray:
-        x = np.unpackbits(rows, axis=1, count=SPECTRUM).astype(np.float32)
-        return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+    def unit(rows) -> np.ndarray:
+        x = np.zeros((len(rows), SPECTRUM), np.float32)
+        for i, r in enumerate(rows):
+            x[i, places[r]] = 1 / np.sqrt(max(1, len(places[r])))
+        return x
 
     marks = np.concatenate([np.flatnonzero(y == k)[:: max(1, (y == k).sum() // LANDMARKS_PER_LANGUAGE)][:LANDMARKS_PER_LANGUAGE] for k in range(len(languages))])
-    landmarks = unit(bits[marks])
-    kernel = np.concatenate([unit(bits[at : at + 128]) @ landmarks.T for at in range(0, len(bits), 128)]).astype(np.float64)
+    landmarks = unit(marks)
+    kernel = np.concatenate([unit(range(at, min(at + 128, len(y)))) @ landmarks.T for at in range(0, len(y), 128)]).astype(np.float64)
     value, vector = np.linalg.eigh(kernel[marks])
     good = value > value.max() * 1e-8
     nystrom = vector[:, good] / np.sqrt(value[good])

@@ -20,9 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import id_remainder, table
-from .grams import SPECTRUM, packed_presence, sample_per_class, spectrum
+from .grams import SPECTRUM, present_places, sample_per_class, spectrum
 
-PER_CLASS = 2500
+PER_CLASS = 2000
 WORD_BITS = 17
 WIDTH = SPECTRUM + (1 << WORD_BITS)
 SMOOTHING = 1.0
@@ -97,11 +97,10 @@ def fit(train: DataFrame, label_col: str = "quality", text_col: str = "text", id
     usable = train.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
     share = {str(r["label"]): r["count"] for r in usable.groupBy(F.col(label_col).cast("string").alias("label")).count().collect()}
     sample = sample_per_class(usable, label_col, per_class, F.struct(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)))
-    labels, bits = packed_presence(sample, label_col, text_col, indicators, WIDTH)
+    labels, rows = present_places(sample, label_col, text_col, indicators, WIDTH)
     y = np.array([1.0 if x == "1" else -1.0 for x in labels])
     if len(set(labels)) < 2:
         return NBSVM(np.zeros(WIDTH, np.float32), 0.0, 1e-3, 0.0 if not labels else 4.0 * y[0])
-    rows = [np.flatnonzero(np.unpackbits(x, count=WIDTH)).astype(np.int32) for x in bits]
     apart = np.arange(len(y)) % 5 == 4 if min((y > 0).sum(), (y < 0).sum()) >= 50 else np.zeros(len(y), bool)
     fitted = np.flatnonzero(~apart)
     counts = {k: np.full(WIDTH, SMOOTHING) for k in (1.0, -1.0)}
