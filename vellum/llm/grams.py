@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .common import materialize
+
 TRIGRAM_BITS = 16
 #: One place for each byte and byte pair; byte triples share 2**16 places.
 SPECTRUM = 256 + (1 << 16) + (1 << TRIGRAM_BITS)
+BROADCAST_IDS = 100_000
 CHUNK = 1 << 20  # bytes looked at together, so that memory stays small on very long texts
 
 
@@ -36,10 +39,20 @@ def spectrum(text: bytes, seen: np.ndarray) -> np.ndarray:
     return places
 
 
-def sample_per_class(rows: DataFrame, label: str, per_class: int, order: Column) -> DataFrame:
-    """At most `per_class` rows of each label, by `order`; only the kept rows are shuffled."""
+def sample_per_class(rows: DataFrame, label: str, per_class: int, id_col: str) -> DataFrame:
+    """At most `per_class` rows of each label, by a hash of the id.
+
+    Ids are chosen first, without their texts, which only the chosen rows are then read for. Rows
+    that share an id come together, so the bound is applied once more to what was read.
+    """
+    order = F.struct(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
     rank = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    return rows.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank")
+    ids = rows.select(id_col, label).withColumn("_rank", rank).where(F.col("_rank") <= per_class).select(id_col).distinct()
+    ids = materialize(ids, "sample-ids")
+    if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    read = rows.join(ids, id_col, "left_semi")
+    return read.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank")
 
 
 def present_places(rows: DataFrame, label: str, text: str, features, width: int) -> tuple[list[str], list[np.ndarray]]:

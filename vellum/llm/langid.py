@@ -53,7 +53,7 @@ class StringKernelModel:
 def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> StringKernelModel:
     """Fit on rows with a language and text; rows without either are left out. No rows: no language."""
     usable = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    sample = sample_per_class(usable, lang_col, per_language, F.struct(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)))
+    sample = sample_per_class(usable, lang_col, per_language, id_col)
     labels, places = present_places(sample, lang_col, text_col, spectrum, SPECTRUM)
     languages = sorted(set(labels))
     if not languages:

@@ -96,7 +96,7 @@ def fit(train: DataFrame, label_col: str = "quality", text_col: str = "text", id
     classes the model scores every text with the one class there is, or 0.5 without any."""
     usable = train.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
     share = {str(r["label"]): r["count"] for r in usable.groupBy(F.col(label_col).cast("string").alias("label")).count().collect()}
-    sample = sample_per_class(usable, label_col, per_class, F.struct(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)))
+    sample = sample_per_class(usable, label_col, per_class, id_col)
     labels, rows = present_places(sample, label_col, text_col, indicators, WIDTH)
     y = np.array([1.0 if x == "1" else -1.0 for x in labels])
     if len(set(labels)) < 2:
