@@ -37,5 +37,6 @@ def held(windows: DataFrame, value: str, above: float, times: int) -> DataFrame:
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
+    """The event files as a stream; event time is a TIMESTAMP, which watermarks need."""
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
