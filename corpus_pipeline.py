@@ -9,12 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import mixing, packing, quality, repeats, simhash
+from vellum.llm import mixing, packing, quality, repeats, similar
 from vellum.llm.common import materialize, table
 
-#: Five-word shingles; fingerprints of 0.8-similar texts or nearer. A pair at 6 of 64 bits has about
-#: 0.92 of its shingles in common; wider radii need too many shards (see the README).
-SHINGLE_WORDS, RADIUS = 5, 6
+#: Near duplicates: texts with this Jaccard similarity of five-word shingles or more.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +24,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each near-duplicate group."""
-    return simhash.drop_near_duplicates(docs, SHINGLE_WORDS, RADIUS)
+    return similar.drop_similar(docs, SHINGLE_WORDS, SIMILARITY)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

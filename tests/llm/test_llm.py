@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vellum.llm import ann, langid, lm, mixing, packing, quality, repeats, sharding, simhash, topk
+from vellum.llm import ann, langid, lm, mixing, packing, quality, repeats, sharding, similar, simhash, topk
 from vellum.llm.hilbert import hilbert_key
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long, component string"
@@ -63,6 +63,59 @@ def test_simhash(spark, docs, rows):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def copies(seed, groups, size, n_words=90):
+    """Texts of which each group shares a base, with none to many words changed."""
+    r = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    out = []
+    for _ in range(groups):
+        base = [r.choice(vocabulary) for _ in range(n_words)]
+        for _ in range(size):
+            w = list(base)
+            for _ in range(r.randint(0, 6)):
+                w[r.randrange(n_words)] = r.choice(vocabulary)
+            out.append(" ".join(w))
+    return out
+
+
+def similar_groups(ids, texts, words, similarity):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({b" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    root = list(range(len(ids)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(ids)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    low = {}
+    for i, x in enumerate(ids):
+        low[find(i)] = min(low.get(find(i), x), x)
+    return Counter((x, low[find(i)]) for i, x in enumerate(ids))
+
+
+def test_similar_documents(spark, docs, rows):
+    there = [r for r in rows if r[0] is not None]
+    got = Counter((r["id"], r["component"]) for r in similar.similar_documents(docs).collect())
+    assert got == similar_groups([r[0] for r in there], [r[1] for r in there], 5, 0.8)
+    kept = similar.drop_similar(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*{c for _, c in got}, None])
+    assert similar.similar_documents(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("shard_rows, crowd", [(2048, 64), (8, 4)])
+def test_similar_pairs_and_groups(spark, monkeypatch, shard_rows, crowd):
+    monkeypatch.setattr(simhash, "SHARD_ROWS", shard_rows)
+    monkeypatch.setattr(similar, "LEAST", crowd)
+    texts = copies(5, 60, 2) + copies(6, 2, 40) + ["the same line of licence text " * 3 + t for t in copies(7, 40, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = Counter((r["id"], r["component"]) for r in similar.similar_documents(df).collect())
+    assert got == similar_groups(range(len(texts)), texts, 5, 0.8)
+
+
 def test_bk_tree_shards():
     r = random.Random(1)
     base = [r.getrandbits(64) for _ in range(20)]

@@ -29,23 +29,30 @@ SHARD_ROWS = 2048
 CHUNK = 1 << 16  # shingles whose bits are counted at once
 
 
-def fingerprint(text: bytes | None, words: int) -> int:
-    """SimHash of the `words`-word shingles of an A-Z lower-cased text, as unsigned 64 bits.
+def shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
+    """XXH64 of the `words`-word shingles of an A-Z lower-cased text, repeats included, in chunks.
 
-    Fewer words make one shingle; no word (null, empty, blank) gives 0. Repeated shingles count.
+    Fewer words make one shingle; no word (null, empty, blank) makes none.
     """
     w = text.lower().split() if text else []  # bytes.split() cuts at exactly 0x20 and 0x09-0x0D
     if not w:
-        return 0
+        return
     joined = b" ".join(w)
     size = np.fromiter(map(len, w), np.int64, len(w)) + 1
     ends = np.cumsum(size) - 1
     starts = ends + 1 - size
     n = max(1, len(w) - words + 1)
     first, last = starts[:n].tolist(), ends[min(words, len(w)) - 1 :].tolist()
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, n, CHUNK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])], np.uint64)
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])], np.uint64)
+
+
+def fingerprint(text: bytes | None, words: int) -> int:
+    """SimHash of the shingles of a text, as unsigned 64 bits; 0 if it has no word."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in shingle_hashes(text, words):
+        n += len(h)
         ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n).view(">u8")[0])
 
@@ -133,6 +140,27 @@ def default_blocks(n: int, radius: int) -> int:
     return 2 * radius + 1
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
+    """Lists of whole groups of two rows or more, each a (columns, rows) array of longs.
+
+    Rows are sorted by their first `keys` columns, in which a group agrees.
+    """
+    kept: list[np.ndarray] = []
+    for b in itertools.chain(batches, [None]):
+        if b is not None:
+            kept.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(b.num_columns)]))
+            if b.num_rows == 0:
+                continue
+        if not kept:
+            return
+        rows = np.concatenate(kept, axis=1)
+        cut = np.flatnonzero(np.any(rows[:keys, 1:] != rows[:keys, :-1], axis=0)) + 1
+        bounds = np.concatenate([[0], cut, [rows.shape[1]]])
+        if b is not None:  # the last group may go on in the next batch
+            kept, bounds = [rows[:, bounds[-2] :]], bounds[:-1]
+        yield [rows[:, bounds[i] : bounds[i + 1]] for i in np.flatnonzero(np.diff(bounds) > 1)]
+
+
 def links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp) -> (a, b) links whose components are those of all pairs in reach."""
     blocks = blocks or default_blocks(fps.count(), radius)
@@ -150,22 +178,9 @@ def links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFra
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[np.ndarray] = []
-        for b in itertools.chain(batches, [None]):
-            if b is not None:
-                kept.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(5)]))
-                if b.num_rows == 0:
-                    continue
-            if not kept:
-                return
-            rows = np.concatenate(kept, axis=1)
-            cut = np.flatnonzero(np.any(rows[:3, 1:] != rows[:3, :-1], axis=0)) + 1
-            bounds = np.concatenate([[0], cut, [rows.shape[1]]])
-            if b is not None:  # the last shard may go on in the next batch
-                kept, bounds = [rows[:, bounds[-2] :]], bounds[:-1]
+        for shards in groups(batches, 3):
             out: list[tuple[int, int]] = []
-            for i in np.flatnonzero(np.diff(bounds) > 1):
-                part = rows[:, bounds[i] : bounds[i + 1]]
+            for part in shards:
                 fp, home = part[4].view(np.uint64), part[3] == 1
                 out += shard_links(fp[home].tolist(), fp[~home].tolist(), radius)
             pair = np.array(sorted(set(out)), np.uint64).reshape(-1, 2).view(np.int64)
@@ -197,8 +212,12 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_co
     Rows that share an id are one document and leave one row. Rows without an id can't be told
     apart and all stay. Columns are those of `docs`.
     """
-    groups = near_duplicates(docs, words, radius, None, id_col, text_col)
-    stay = groups.where("id = component").groupBy(F.col("id").alias(id_col)).count()
+    return keep_lowest(docs, near_duplicates(docs, words, radius, None, id_col, text_col), id_col)
+
+
+def keep_lowest(docs: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
+    """The rows of `docs` whose id names its component in `grouped` (id, component), one for each id, and those without id."""
+    stay = grouped.where("id = component").groupBy(F.col("id").alias(id_col)).count()
     once = docs.join(stay.where("count = 1"), id_col, "left_semi")
     often = docs.join(stay.where("count > 1"), id_col, "left_semi").dropDuplicates([id_col])
     return once.unionByName(often).unionByName(docs.where(F.col(id_col).isNull()))
