@@ -144,7 +144,9 @@ def test_hot_shards_lose_no_link(spark, monkeypatch):
     assert roots == {min(fps)}
 
 
-def test_repeats(spark, docs, rows):
+@pytest.mark.parametrize("crowded", [repeats.CROWDED, 1])
+def test_repeats(spark, docs, rows, crowded, monkeypatch):
+    monkeypatch.setattr(repeats, "CROWDED", crowded)
     texts = [(r[1] or "").encode() for r in rows]
     seen = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
     want = Counter()

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +40,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def id_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; -1 for a null id (never held out)."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus, F.lit(-1))
+
+
+def slices(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of so many rows, so that few of its texts are held as Python objects at once."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))

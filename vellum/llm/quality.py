@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, table
+from .common import id_remainder, slices, table
 from .grams import SPECTRUM, present_places, sample_per_class, spectrum
 
 SLICE = 256  # texts scored together
@@ -119,13 +119,6 @@ def fit(train: DataFrame, label_col: str = "quality", text_col: str = "text", id
     return NBSVM(weights, bias, *logistic(margin, y[curve], each * len(curve) / each.sum()))
 
 
-def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of SLICE rows, so that few texts' places are held at once."""
-    for b in batches:
-        for at in range(0, b.num_rows, SLICE):
-            yield b.slice(at, SLICE)
-
-
 def predict(docs: DataFrame, model: NBSVM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) per row of `docs`, from the whole text and nothing else.
 
@@ -136,9 +129,10 @@ def predict(docs: DataFrame, model: NBSVM, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = shared.value, np.zeros(WIDTH, bool)
-        for b in slices(batches):
-            score = m.score([indicators(x or b"", seen) for x in b.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score, pa.float64())], ["id", "score"])
+        for b in batches:
+            for part in slices(b, SLICE):
+                score = m.score([indicators(x or b"", seen) for x in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(score, pa.float64())], ["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, f"id {kind}, score double")
@@ -150,9 +144,10 @@ def keep_good(docs: DataFrame, model: NBSVM, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, seen = shared.value, np.zeros(WIDTH, bool)
-        for b in slices(batches):
-            texts = b.column(names.index(text_col)).cast(pa.binary()).to_pylist()
-            yield b.filter(pa.array(m.score([indicators(x or b"", seen) for x in texts]) >= threshold, pa.bool_()))
+        for b in batches:
+            for part in slices(b, SLICE):
+                texts = part.column(names.index(text_col)).cast(pa.binary()).to_pylist()
+                yield part.filter(pa.array(m.score([indicators(x or b"", seen) for x in texts]) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -14,8 +14,12 @@ all suffixes of the group's phrases, by prefix doubling up to 200 bytes (their s
 it matters), tell which strings are equal. Offsets of all these strings, back in their documents,
 give the bytes to remove.
 
+A line that very many documents hold has one core. So phrases that meet their like within a batch are
+settled there, and only one of each goes to its core's task; the others are dealt at random. And a
+core with over CROWDED different phrases is no group: its strings part by their 128-bit hashes.
+
 Cores and phrases are told apart by 64-bit hashes, phrases only within a core; the strings of
-different phrases are compared byte by byte.
+different phrases are compared byte by byte, but for those of crowded cores.
 """
 
 from __future__ import annotations
@@ -24,17 +28,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 LENGTH = 200
 TRIGGER_RUN = 120
 CORE = LENGTH - TRIGGER_RUN + 1
-CHUNK = 1 << 22  # positions looked at together
-GROUP_BYTES = 1 << 21  # phrases ranked together, at the end of a core's group
+CHUNK = 1 << 19  # positions looked at together
+GROUP_BYTES = 1 << 19  # phrases ranked together, at the end of a core's group
+CROWDED = 2048  # different phrases of a core that are ranked together at most
+SLICE = 256  # texts held as Python objects together
+PENDING = 1 << 19  # phrases, or strings, settled together
 
 
 def triggers(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,14 +70,35 @@ def triggers(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _first_of_each(key: np.ndarray, at: np.ndarray, major: np.ndarray, minor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For rows equal where (major, minor) are: what deals them out, major for the first of equals and
+    a hash of (key, at) for the others, and whether a row has an equal one."""
+    order = np.lexsort((minor, major))
+    same = np.concatenate([[False], (major[order][1:] == major[order][:-1]) & (minor[order][1:] == minor[order][:-1])])
+    later, sure = np.empty(len(order), bool), np.empty(len(order), bool)
+    later[order], sure[order] = same, same | np.concatenate([same[1:], [False]])
+    h = key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + at.astype(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return np.where(later, (h ^ (h >> np.uint64(32))).view(np.int64), major), sure
+
+
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> (key, start, n, core, phrase) of each run of strings that share a trigger."""
+    """(key, text) -> (key, start, n, core, phrase, sure) of each run of strings that share a trigger.
+    sure: an equal phrase of the core is in the same batch; all but one of them have a random core."""
     digest = xxhash.xxh64_intdigest
+    out: list[list] = [[], [], [], [], []]
+
+    def settle() -> pa.RecordBatch:
+        key, start, n, core, phrase = map(np.concatenate, out)
+        core, sure = _first_of_each(key, start, core, phrase)
+        for c in out:
+            c.clear()
+        return pa.RecordBatch.from_arrays([*map(pa.array, (key, start, n, core, phrase, sure))], ["key", "start", "n", "core", "phrase", "sure"])
+
+    size = 0
     for b in batches:
-        keys = b.column(0).to_pylist()
-        for at in range(0, len(keys), 256):
-            out: list[list] = [[], [], [], [], []]
-            for key, text in zip(keys[at : at + 256], b.column(1).slice(at, 256).to_pylist()):
+        for part in slices(b, SLICE):
+            for key, text in zip(*(c.to_pylist() for c in part.columns)):
                 if text is None or len(text) < LENGTH:
                     continue
                 start, n, trigger = triggers(text)
@@ -79,8 +108,12 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[2].append(n)
                 out[3].append(np.array([digest(text[i : i + CORE]) for i in t], np.uint64).view(np.int64))
                 out[4].append(np.array([digest(text[i:j], k - i) for i, j, k in zip(s, e, t)], np.uint64).view(np.int64))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["key", "start", "n", "core", "phrase"])
+                size += len(s)
+                if size >= PENDING:
+                    yield settle()
+                    size = 0
+    if size:
+        yield settle()
 
 
 def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,11 +123,11 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        new = [b.column(i).to_numpy() for i in range(5)] + [np.zeros(b.num_rows, bool) for _ in range(3)]
-        key, start, n, core, phrase, told, named, other = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
+        new = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)] + [np.zeros(b.num_rows, bool) for _ in range(3)]
+        key, start, n, core, phrase, sure, told, named, other = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
         same_core = np.concatenate([[False], core[1:] == core[:-1]])
         same = same_core & np.concatenate([[False], phrase[1:] == phrase[:-1]])
-        again = same | np.concatenate([same[1:], [False]])
+        again = sure | same | np.concatenate([same[1:], [False]])
         group = np.cumsum(~same_core) - 1
         several = (np.bincount(group, ~same) > 1) | (np.bincount(group, other) > 0)
         differs = ~same & several[group]
@@ -104,7 +137,7 @@ def _dictionary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[rows]) for x in (key, start, n, core, say_again, say_differs)], ["key", "start", "n", "core", "again", "differs"])
         last = np.flatnonzero(~same)[-1]
         hold = np.unique([last, len(core) - 1])
-        kept = [x[hold] for x in (key, start, n, core, phrase, told | again, named | differs, np.full(len(core), several[-1]))]
+        kept = [x[hold] for x in (key, start, n, core, phrase, sure, told | again, named | differs, np.full(len(core), several[-1]))]
 
 
 def equal_strings(phrases: list[bytes]) -> list[np.ndarray]:
@@ -145,10 +178,43 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
+def _fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, text, runs) -> (core, key, start, phrase, sure). A run of a crowded core becomes a row for
+    each string: core and phrase are the halves of its hash; of equal ones in a batch, which are sure,
+    all but one have a random core."""
+    names, types = ["core", "key", "start", "phrase", "sure"], (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+    whole, strings = [], []
+
+    def settle() -> Iterator[pa.RecordBatch]:
+        if whole:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*whole), types)], names)
+        if strings:
+            key, start = (np.array([r[i] for r in strings], np.int64) for i in (0, 1))
+            digests = b"".join(r[2] for r in strings)
+            major, minor = np.frombuffer(digests, np.int64).reshape(-1, 2).T
+            core, sure = _first_of_each(key, start, major, minor)
+            yield pa.RecordBatch.from_arrays([pa.array(core), pa.array(key), pa.array(start), pa.array([digests[i + 8 : i + 16] for i in range(0, len(digests), 16)], pa.binary()), pa.array(sure)], names)
+        whole.clear()
+        strings.clear()
+
+    for b in batches:
+        for part in slices(b, SLICE):
+            for key, text, runs in zip(*(c.to_pylist() for c in part.columns)):
+                for r in runs:
+                    at, n = r["start"], r["n"]
+                    if r["crowded"]:
+                        strings += [(key, i, xxhash.xxh3_128_digest(text[i : i + LENGTH])) for i in range(at, at + n)]
+                    else:
+                        whole.append((r["core"], key, at, text[at : at + n + LENGTH - 1], False))
+            if len(whole) * LENGTH > GROUP_BYTES or len(strings) > PENDING // 4:
+                yield from settle()
+    yield from settle()
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(core, key, start, phrase) sorted by core -> (key, start, n) of the strings that occur again."""
+    """What _fetch gives, sorted by (core, phrase) -> (key, start, n) of the strings that occur again."""
     held: list[tuple] = []
-    size = 0
+    size, before = 0, None
 
     def settle(rows):
         out = [[], [], []]
@@ -160,7 +226,17 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["key", "start", "n"])
 
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns)):
+        hashed = pc.less(pc.binary_length(b.column(3)), LENGTH)
+        part = b.filter(hashed)
+        if part.num_rows:
+            new = [part.column(i).to_numpy() for i in range(3)] + [np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64), part.column(4).to_numpy(zero_copy_only=False), np.zeros(part.num_rows, bool)]
+            core, key, start, minor, sure, told = new if before is None else [np.concatenate(x) for x in zip(before, new)]
+            same = np.concatenate([[False], (core[1:] == core[:-1]) & (minor[1:] == minor[:-1])])
+            again = sure | same | np.concatenate([same[1:], [False]])
+            rows = again & ~told
+            yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(start[rows]), pa.array(np.ones(rows.sum(), np.int64))], ["key", "start", "n"])
+            before = [x[-1:] for x in (core, key, start, minor, sure, told | again)]
+        for row in zip(*(c.to_pylist() for c in b.filter(pc.invert(hashed)).columns[:4])):
             if size >= GROUP_BYTES and row[0] != held[-1][0]:
                 yield settle(held)
                 held, size = [], 0
@@ -173,21 +249,15 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_strings(docs: DataFrame, text_col: str, key_col: str) -> DataFrame:
     """(key, runs): for each key with any, the (start, n) runs of 200-byte strings that occur again."""
     texts = docs.select(F.col(key_col).alias("key"), F.col(text_col).cast("binary").alias("t"))
-    parsed = texts.mapInArrow(_phrases, "key long, start long, n long, core long, phrase long")
+    parsed = texts.mapInArrow(_phrases, "key long, start long, n long, core long, phrase long, sure boolean")
     ordered = parsed.repartition("core").sortWithinPartitions("core", "phrase", "key", "start")
     marks = materialize(ordered.mapInArrow(_dictionary, "key long, start long, n long, core long, again boolean, differs boolean"), "dictionary")
-    asked = marks.where("differs").groupBy("key").agg(F.collect_set(F.struct("start", "n", "core")).alias("runs"))
-
-    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows = [(r["core"], key, r["start"], text[r["start"] : r["start"] + r["n"] + LENGTH - 1]) for key, text, runs in zip(*(c.to_pylist() for c in part.columns)) for r in runs]
-                cols = zip(*rows)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["core", "key", "start", "phrase"])
-
-    phrases = texts.join(asked, "key").select("key", "t", "runs").mapInArrow(fetch, "core long, key long, start long, phrase binary")
-    compared = phrases.repartition("core").sortWithinPartitions("core").mapInArrow(_compare, "key long, start long, n long")
+    differs = marks.where("differs").select("key", "start", "n", "core")
+    crowded = differs.groupBy("core").count().where(F.col("count") > CROWDED).select("core", F.lit(True).alias("crowded"))
+    asked = differs.join(materialize(crowded, "crowded"), "core", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    asked = asked.groupBy("key").agg(F.collect_set(F.struct("start", "n", "core", "crowded")).alias("runs"))
+    phrases = texts.join(asked, "key").select("key", "t", "runs").mapInArrow(_fetch, "core long, key long, start long, phrase binary, sure boolean")
+    compared = phrases.repartition("core").sortWithinPartitions("core", "phrase").mapInArrow(_compare, "key long, start long, n long")
     compared = materialize(compared, "compared")
     every = marks.where("again").select("key", "start", "n").unionByName(compared)
     return every.groupBy("key").agg(F.collect_set(F.struct("start", "n")).alias("runs"))
@@ -225,8 +295,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
+            for part in slices(b, SLICE):
                 texts = [t or b"" for t in part.column(1).to_pylist()]
                 done = [cut(t, r) for t, r in zip(texts, part.column(2).to_pylist())]
                 spans = pa.array([[{"start": s, "length": n} for s, n in d[1]] for d in done], pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())])))
@@ -247,10 +316,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
         for b in batches:
-            texts = b.column(at).cast(pa.binary()).to_pylist()
-            kept = [t if t is None else cut(t, r)[0].decode("utf-8", "ignore") for t, r in zip(texts, b.column(len(names)).to_pylist())]
-            columns = [pa.array(kept, pa.string()) if i == at else b.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            for part in slices(b, SLICE):
+                texts = part.column(at).cast(pa.binary()).to_pylist()
+                kept = [t if t is None else cut(t, r)[0].decode("utf-8", "ignore") for t, r in zip(texts, part.column(len(names)).to_pylist())]
+                columns = [pa.array(kept, pa.string()) if i == at else part.column(i) for i in range(len(names))]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, docs.schema)
 
