@@ -6,9 +6,10 @@ by shingles: in one order of all shingles, two sets that are `similarity` alike
 among the first n - ceil(similarity * n) + 1 of each (n its size). The order puts shingles from
 crowded hash buckets last, so that common lines and passages rarely key a shard. A shard's BK-tree
 finds fingerprints within `reach`. Those within `sure` link at once; the others are compared by the
-exact similarity of their shingle sets, each one with the nearest member of every component that its
-shard has made of sure links (so, in groups without sure links, all pairs in reach). Output of a
-shard is rows times such components, not pairs.
+exact similarity of their shingle sets. That goes in rounds, so that a group of copies isn't compared
+pair by pair: NEAREST_ROUNDS times, each fingerprint of a shard meets the nearest one of another
+component (one row each), by which components grow; then, in shards that still hold several, all
+pairs in reach of different components are named.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from .components import connected_components
 
 BITS = 256
 BUCKET_BITS = 20  # shingles are counted in 2**20 hash buckets: one byte of each reaches every task
+NEAREST_ROUNDS = 1
 CROWD, LEAST = 4, 64  # a bucket is crowded at CROWD times the mean count, LEAST at least
 PENDING = 1 << 21  # shingles held before they are counted
 #: Sketch columns besides the id.
@@ -130,63 +132,80 @@ def sketches(texts: DataFrame, words: int, similarity: float, crowd: np.ndarray)
     return texts.mapInArrow(run, f"id {kind}, node long, {', '.join(f'{x} long' for x in LANES)}, keys array<long>")
 
 
-def shard_pairs(home: list[int], visitors: list[int], near: int, sure: int) -> list[tuple[int, int, bool]]:
-    """(i, j, whether sure) pairs of places in home + visitors; see the module for which."""
-    tree, parent, out = simhash.BKTree(near), list(range(len(home))), []
+def nearest_pairs(home: list[int], visitors: list[int], roots: list[int], near: int, sure: int) -> list[tuple[int, int, bool]]:
+    """(i, j, whether sure): each place in home + visitors with the nearest place in home that is in
+    reach and in another component."""
+    tree, out = simhash.BKTree(near), {}
+    for i, fp in enumerate(home):
+        tree.insert(fp, i)
+    for i, fp in enumerate(home + visitors):
+        others = (((n[0] ^ fp).bit_count(), n[1]) for n in tree.search(fp) if roots[n[1]] != roots[i])
+        d, j = min(others, default=(0, -1))
+        if j >= 0:
+            out[min(i, j), max(i, j)] = d <= sure
+    return [(i, j, certain) for (i, j), certain in out.items()]
+
+
+def cross_pairs(home: list[int], visitors: list[int], roots: list[int], near: int, sure: int) -> list[tuple[int, int, bool]]:
+    """(i, j, whether sure) of places in home + visitors, one at least in home: pairs in reach whose
+    components differ. Sure links join components first, and only those that do are named."""
+    tree, at = simhash.BKTree(near), {}
+    parent = [at.setdefault(r, i) for i, r in enumerate(roots)]
+    pairs: list[tuple[int, int, int]] = []
 
     def find(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    def search(fp: int, radius: int) -> Iterator[tuple[int, int]]:
-        tree.radius = radius
-        return ((n[1], (n[0] ^ fp).bit_count()) for n in tree.search(fp))
-
-    for i, fp in enumerate(home):
-        for j, _ in search(fp, sure):
-            if find(i) != find(j):
-                parent[find(i)] = find(j)
-                out.append((i, j, True))
-        tree.insert(fp, i)
-    root = [find(i) for i in range(len(home))]
-    size = np.bincount(root, minlength=len(home)).tolist()
     for i, fp in enumerate(home + visitors):
-        own = root[i] if i < len(home) else None
-        if own is not None and size[own] == len(home):
-            continue
-        best: dict[int, tuple[int, int]] = {}
-        for j, d in search(fp, near):
-            c = root[j]  # of two components, the rows of the smaller one name the other's nearest
-            if c != own and (own is None or size[own] <= size[c]) and (d, j) < best.get(c, (BITS + 1, 0)):
-                best[c] = (d, j)
-        out += [(i, j, d <= sure) for d, j in best.values()]
+        pairs += [((n[0] ^ fp).bit_count(), i, n[1]) for n in tree.search(fp) if roots[n[1]] != roots[i]]
+        if i < len(home):
+            tree.insert(fp, i)
+    out = []
+    for d, i, j in sorted(pairs):
+        if find(i) != find(j):
+            out.append((i, j, d <= sure))
+            if d <= sure:
+                parent[find(i)] = find(j)
     return out
 
 
-def candidate_pairs(sketched: DataFrame, classes: DataFrame, near: int, sure: int) -> DataFrame:
-    """(a, b, sure) node pairs with a < b, found in the trees of shards keyed by shingles."""
-    posts = materialize(sketched.select(F.explode("keys").alias("key"), "node").distinct(), "postings")
-    shared = materialize(posts.groupBy("key").count().where("count > 1"), "shared-keys")
+def shared_keys(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(key, count) of the keys of several nodes; given roots, of nodes of several components."""
+    if roots is None:
+        return materialize(posts.groupBy("key").count().where("count > 1"), "shared-keys")
+    root = F.coalesce("root", "node")
+    spread = posts.join(roots, "node", "left").groupBy("key").agg(F.count("*").alias("count"), F.min(root).alias("low"), F.max(root).alias("high"))
+    return materialize(spread.where("low < high").select("key", "count"), "shared-keys")
+
+
+def candidate_pairs(posts: DataFrame, classes: DataFrame, near: int, sure: int, roots: DataFrame | None, nearest: bool) -> DataFrame:
+    """(a, b, sure) node pairs with a < b of different components, found in the trees of shards keyed
+    by shingles. roots: (node, root) of the nodes linked so far."""
     n = F.ceil(F.col("count") / simhash.SHARD_ROWS).cast("int")
     own = F.pmod(F.xxhash64("node"), n).cast("int")
+    root = F.col("node")
+    if roots is not None:
+        classes, root = classes.join(roots, "node", "left"), F.coalesce("root", "node")
+    find = nearest_pairs if nearest else cross_pairs
     dealt = (
-        posts.join(shared, "key")
+        posts.join(shared_keys(posts, roots), "key")
         .select("key", "node", own.alias("own"), F.explode(F.sequence(own, n - 1)).alias("shard"))
         .select("key", "shard", (F.col("own") == F.col("shard")).alias("home"), "node")
-        .join(classes.select("node", *LANES), "node")
-        .select("key", "shard", "home", "node", *LANES)
+        .join(classes.select("node", root.alias("root"), *LANES), "node")
+        .select("key", "shard", "home", "node", "root", *LANES)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shards in simhash.groups(batches, 2):
             out: set[tuple[int, int, bool]] = set()
             for part in shards:
-                part = part[:, np.argsort(part[2] == 0, kind="stable")]
-                lanes = part[4:].view(np.uint64).tolist()
+                part = part[:, np.lexsort((part[3], part[2] == 0))]
+                lanes = part[5:].view(np.uint64).tolist()
                 fps = [sum(x << 64 * (len(row) - 1 - i) for i, x in enumerate(row)) for row in zip(*lanes)]
                 homes, node = int((part[2] == 1).sum()), part[3].tolist()
-                for i, j, certain in shard_pairs(fps[:homes], fps[homes:], near, sure):
+                for i, j, certain in find(fps[:homes], fps[homes:], part[4].tolist(), near, sure):
                     out.add((min(node[i], node[j]), max(node[i], node[j]), certain))
             a, b, certain = zip(*sorted(out)) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(certain, pa.bool_())], ["a", "b", "sure"])
@@ -234,9 +253,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     sketched = materialize(sketches(texts, words, similarity, crowding(texts, words)), "sketches")
     classes = materialize(sketched.groupBy("node").agg(F.min("id").alias("id"), *[F.first(x).alias(x) for x in LANES]), "classes")
-    pairs = materialize(candidate_pairs(sketched, classes, near, sure), "candidates")
-    links = pairs.where("sure").select("a", "b").unionByName(alike(pairs.where("not sure"), texts, classes, words, similarity))
-    roots = connected_components(links).select("node", "root")
+    posts = materialize(sketched.select(F.explode("keys").alias("key"), "node").distinct(), "postings")
+
+    links = roots = None
+    for turn in range(NEAREST_ROUNDS + 1):
+        pairs = materialize(candidate_pairs(posts, classes, near, sure, roots, turn < NEAREST_ROUNDS), "candidates")
+        found = materialize(pairs.where("sure").select("a", "b").unionByName(alike(pairs.where("not sure"), texts, classes, words, similarity)), "linked")
+        links = found if links is None else links.unionByName(found)
+        roots = connected_components(links)
     named = classes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lows = named.groupBy("root").agg(F.min("id").alias("component"))
     named = materialize(named.join(lows, "root").select("node", "component"), "roots")
