@@ -244,6 +244,19 @@ def test_lm(spark, docs, rows):
     assert lm.score(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_lm_base_is_a_unigram_distribution(spark):
+    train = ["b a a", "c a", None]
+    count = Counter(a=3, b=1, c=1)
+    ends, n, v = 3, 8, 4
+    df = spark.createDataFrame([*enumerate(train), (10, "a"), (11, "b"), (12, "c"), (13, "new")], "doc_id long, text string")
+    got = {r["id"]: r["base_score"] for r in lm.score(df, F.col("doc_id") < 10).collect()}
+    p = lambda k: (k + 1) / (n + v + 1)
+    assert got[2] == pytest.approx(np.log10(p(ends)))
+    own = {w: 10 ** (got[i] - got[2]) for i, w in ((10, "a"), (11, "b"), (12, "c"), (13, "new"))}
+    assert own == pytest.approx({w: p(count[w]) for w in own})
+    assert sum(own.values()) + 10 ** got[2] == pytest.approx(1)
+
+
 def test_suffix_tree_is_a_distribution(spark, docs):
     counts = lm.count_corpus(docs, F.lit(True), "text").where("kind = 0").select("code", "n")
     got = lm.tree(counts, least=4, gain=0.5).select("depth", "context", "symbol", "logp").toArrow().columns

@@ -227,8 +227,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row of `docs`, learning from the
     rows where `train` holds.
 
-    base_score: the unigram model's log10 probability with add-one smoothing; score: the suffix
-    tree's. A null, empty or blank text is its end token alone. Rows that repeat an id are scored
+    base_score: the unigram model's log10 probability with add-one smoothing, (count + 1) / (N + V + 1)
+    for N training tokens of V kinds and one unknown kind; score: the suffix tree's. A null, empty or blank text is its end token alone. Rows that repeat an id are scored
     each. Other columns are ignored; an empty table gives an empty table; without any training row
     all counts are zero. Words are told apart by a 64-bit hash.
     """
@@ -239,7 +239,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     words = counts.where("kind = 1").select(F.col("code").alias("word"), "n")
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = total + ends, distinct + (1 if ends else 0)
-    floor = float(np.log10((n or 1) * (v + 1)))
+    floor = float(np.log10(n + v + 1))
     top = words.orderBy(F.desc("n"), "word").limit(FREQUENT).toArrow()
     top = [c.to_numpy() for c in top.sort_by("word").columns]
     frequent = spark.sparkContext.broadcast((top[0], top[1]))
