@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vellum.llm import ann, langid, lm, mixing, packing, quality, repeats, sharding, similar, simhash, topk
 from vellum.llm.hilbert import hilbert_key
+from vellum.llm.vectors import Best
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp long, size long, component string"
 
@@ -302,6 +303,35 @@ def test_neighbours(spark):
     assert ann.neighbours(df.limit(0), F.col("id") == 0).count() == 0
 
 
+def test_repeated_ids_are_one_candidate(spark):
+    r = np.random.default_rng(4)
+    x = r.normal(size=(200, 8))
+    rows = [(i, v) for i, v in enumerate(x)]
+    rows += [(7, x[0] * (3 - n / 100)) for n in range(60)]  # the largest products, and
+    rows += [(9, x[0] + n / 1e4) for n in range(60)]  # the nearest, of more rows than any k
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id long, embedding array<double>")
+    whole = {}
+    near = {}
+    for i, v in rows:
+        if i:
+            s, d = int(np.floor(v * 256) @ np.floor(x[0] * 256)), float(np.sqrt(((v - x[0]) ** 2).sum()))
+            whole[i], near[i] = max(whole.get(i, s), s), min(near.get(i, d), d)
+    want = sorted(whole.items(), key=lambda y: (-y[1], y[0]))[:5]
+    got = topk.top_k(df, F.col("id") == 0).orderBy("rank").collect()
+    assert [(g["rank"], g["vec_id"], g["score"]) for g in got] == [(k + 1, *y) for k, y in enumerate(want)]
+    want = sorted(near.items(), key=lambda y: (y[1], y[0]))[:10]
+    got = ann.neighbours(df, F.col("id") == 0, 10).orderBy("rank").collect()
+    assert [(g["rank"], g["vec_id"]) for g in got] == [(k + 1, y[0]) for k, y in enumerate(want)]
+    assert [g["score"] for g in got] == pytest.approx([y[1] for y in want])
+
+
+def test_best_keeps_the_better_row_of_an_id():
+    best = Best(np.array([0]), 2, np.array([-np.inf]))
+    best.add(np.array([[5.0, 1.0]]), np.array([1, 2]))
+    best.add(np.array([[3.0, 2.0]]), np.array([1, 3]))
+    assert sorted(best.rows()) == [(0, 1, 5.0), (0, 3, 2.0)]
+
+
 def test_hilbert_neighbours_touch():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     k = hilbert_key(g, 3)

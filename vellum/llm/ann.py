@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .hilbert import hilbert_key
-from .vectors import BLOCK, QUERY_BLOCK, Best, matrix, pack, probe, ranked, small_batches, unpack, usable
+from .vectors import BLOCK, QUERY_BLOCK, Best, by_id, matrix, pack, probe, ranked, small_batches, unpack, usable
 
 CURVES, DIMS, BITS, WINDOW = 12, 16, 3, 0.16
 SEED = 5
@@ -106,8 +106,9 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int =
                 square = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * (q @ x.T)
                 square[qids[:, None] == ids] = np.inf
                 slack = 1e-12 * ((q * q).sum(1)[:, None] + (x * x).sum(1).max())
-                if len(ids) > k:
-                    limit = np.partition(square, k - 1, axis=1)[:, k - 1 : k]
+                least, own = by_id(-square, ids)
+                if len(own) > k:
+                    limit = -np.partition(least, -k, axis=1)[:, -k][:, None]
                 else:
                     limit = np.full((len(qids), 1), np.inf)
                 limit = np.minimum(limit, np.where(np.isinf(best.floor), np.inf, best.floor**2)[:, None])

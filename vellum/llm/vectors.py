@@ -94,6 +94,15 @@ def unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
 
 
+def by_id(value: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """queries x rows and the rows' ids -> queries x ids, the best (largest) value of each id."""
+    order = np.argsort(ids, kind="stable")
+    distinct, first = np.unique(ids[order], return_index=True)
+    if len(distinct) == len(ids):
+        return value, ids
+    return np.maximum.reduceat(value[:, order], first, axis=1), distinct
+
+
 class Best:
     """The k best (value, id) found so far of each of a block's queries; larger values are better."""
 
@@ -102,14 +111,18 @@ class Best:
         self.found: list[dict[int, float]] = [{} for _ in ids]
 
     def add(self, value: np.ndarray, ids: np.ndarray) -> None:
-        """value: queries x rows, -inf where a row is no candidate."""
+        """value: queries x rows, -inf where a row is no candidate. Of rows that repeat an id the best counts."""
+        value, ids = by_id(value, ids)
         rows, cols = np.nonzero((value >= self.floor[:, None]) & (value > -np.inf))
         for i in np.unique(rows):
             c = cols[rows == i]
             if len(c) > 4 * self.k:
                 v = value[i, c]
                 c = c[v >= np.partition(v, -self.k)[-self.k]]
-            self.found[i].update(zip(ids[c].tolist(), value[i, c].tolist()))
+            found = self.found[i]
+            for j, v in zip(ids[c].tolist(), value[i, c].tolist()):
+                if v > found.get(j, -np.inf):
+                    found[j] = v
             if len(self.found[i]) > self.k:
                 top = sorted(self.found[i].items(), key=lambda x: (-x[1], x[0]))[: self.k]
                 self.found[i] = dict(top)
@@ -120,11 +133,12 @@ class Best:
 
 
 def ranked(partial: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score), each pair once, larger better -> with rank, the k best of each query."""
+    """(query_id, vec_id, score), larger better -> with rank, the k best ids of each query, each by its best score."""
     from pyspark.sql.window import Window
 
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return partial.distinct().withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    best = partial.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return best.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
 def probe(pairs: DataFrame, queries: DataFrame, blocks: DataFrame, make: Callable) -> DataFrame:
