@@ -117,6 +117,31 @@ def test_similar_pairs_and_groups(spark, monkeypatch, shard_rows, crowd):
     assert got == similar_groups(range(len(texts)), texts, 5, 0.8)
 
 
+def test_similar_short_texts(spark):
+    r = random.Random(9)
+    texts = []
+    for _ in range(400):
+        w = ["".join(r.choice("abcdefghij") for _ in range(8)) for _ in range(9)]
+        texts += [" ".join(w[:8]), " ".join(w)]  # 4 and 5 shingles, 0.8 alike
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    linked = sum(x["id"] != x["component"] for x in similar.similar_documents(df).collect())
+    assert linked >= 397
+
+
+def test_reaches_keep_all_but_a_share():
+    near = similar.reaches(0.8)
+    assert (np.diff(near) <= 0).all()
+    heads = [bin(x).count("1") for x in range(1 << 5)]
+    ones = [(bin(x & 15).count("1") * 2 > 4, heads[x] * 2 > 5) for x in range(1 << 5)]
+    assert similar.differing(4, 5, 4) == pytest.approx(sum(a != b for a, b in ones) / 32)
+    from math import comb
+
+    for a, b in ((4, 5), (12, 15), (20, 25), (40, 41), (400, 401)):
+        p = similar.differing(a, b, -(-4 * (a + b) // 9))
+        far = int(near[min(a, similar.SIZES - 1)])
+        assert sum(comb(256, d) * p**d * (1 - p) ** (256 - d) for d in range(far + 1, 257)) <= 1 / 700
+
+
 def test_bk_tree_shards():
     r = random.Random(1)
     base = [r.getrandbits(64) for _ in range(20)]

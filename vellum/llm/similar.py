@@ -5,7 +5,7 @@ blocks would number over a thousand for each. So here fingerprints have 256 bits
 by shingles: in one order of all shingles, two sets that are `similarity` alike share a shingle
 among the first n - ceil(similarity * n) + 1 of each (n its size). The order puts shingles from
 crowded hash buckets last, so that common lines and passages rarely key a shard. A shard's BK-tree
-finds fingerprints within `reach`. Those within `sure` link at once; the others are compared by the
+finds fingerprints within the reach for their sizes. Those within `sure` link at once; the others are compared by the
 exact similarity of their shingle sets. That goes in rounds, so that a group of copies isn't compared
 pair by pair: NEAREST_ROUNDS times, each fingerprint of a shard meets the nearest one of another
 component (one row each), by which components grow; then, in shards that still hold several, all
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +29,8 @@ from .common import materialize
 from .components import connected_components
 
 BITS = 256
+MISSED = 1 / 700  # share of pairs at exactly the similarity whose fingerprints may differ too much, for any sizes
+SIZES = 192  # sets of this size or more are given the reach of those one smaller
 BUCKET_BITS = 20  # shingles are counted in 2**20 hash buckets: one byte of each reaches every task
 NEAREST_ROUNDS = 1
 CROWD, LEAST = 4, 64  # a bucket is crowded at CROWD times the mean count, LEAST at least
@@ -64,6 +67,43 @@ def node_of(fp: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(fp.tobytes(), simhash.SEED)).view(np.int64))
 
 
+def odds(n: int) -> np.ndarray:
+    """Probability of each count of heads in n throws."""
+    from_one = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+    return np.exp(from_one[n] - from_one - from_one[::-1] - n * math.log(2))
+
+
+def differing(a: int, b: int, both: int) -> float:
+    """Probability that a bit differs between the fingerprints of sets of a and b shingles that share `both`."""
+
+    def set_(n: int) -> np.ndarray:
+        """Probability of more than n / 2 ones, for each count of ones among the shared shingles."""
+        own = np.append(np.cumsum(odds(n - both)[::-1])[::-1], 0.0)  # of at least so many ones
+        return own[np.clip(n // 2 + 1 - np.arange(both + 1), 0, n - both + 1)]
+
+    x, y = set_(a), set_(b)
+    return float(odds(both) @ (x * (1 - y) + y * (1 - x)))
+
+
+@cache
+def reaches(similarity: float, missed: float = MISSED) -> np.ndarray:
+    """For the smaller size of two sets (the last entry for larger ones), the bits in which their fingerprints
+    differ at most, but for a share `missed` of the pairs that are just `similarity` alike."""
+    k = np.arange(BITS + 1)
+    ways = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, BITS + 1)))])
+    ways = ways[-1] - ways - ways[::-1]
+    out = np.zeros(SIZES, np.int64)
+    for a in range(1, SIZES):
+        for b in range(a, math.floor(a / similarity + 1e-9) + 1):
+            both = math.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
+            p = max((differing(a, b, c) for c in range(both, min(a, both + 2) + 1)), default=0.0)
+            if p:
+                tail = np.cumsum(np.exp(ways + k * math.log(p) + (BITS - k) * math.log1p(-p))[::-1])[::-1]
+                out[a] = max(out[a], int(np.argmax(np.append(tail, 0.0) <= missed)) - 1)
+    out[0] = out[1:].max()
+    return np.maximum.accumulate(out[::-1])[::-1]
+
+
 def reach(similarity: float, deviations: float) -> int:
     """Bits in which fingerprints of `similarity`-alike sets of one size differ, plus so many deviations."""
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -112,44 +152,55 @@ def first_shingles(shingles: np.ndarray, crowd: np.ndarray, similarity: float) -
 
 
 def sketches(texts: DataFrame, words: int, similarity: float, crowd: np.ndarray) -> DataFrame:
-    """(id, t) rows as (id, node, fingerprint lanes, keys)."""
+    """(id, t) rows as (id, node, fingerprint lanes, size of the shingle set, keys)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, nodes, keys = np.zeros((b.num_rows, BITS // 64), np.int64), [], []
+            fps, nodes, sizes, keys = np.zeros((b.num_rows, BITS // 64), np.int64), [], [], []
             for i, text in enumerate(b.column(1)):
                 s = shingle_set(text.as_py(), words)
                 fp = wide_fingerprint(s)
                 fps[i] = fp.astype(np.uint64).view(np.int64)
                 nodes.append(node_of(fp))
+                sizes.append(len(s))
                 keys.append(first_shingles(s, crowd, similarity).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
             lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), *map(pa.array, fps.T.copy()), lists], ["id", "node", *LANES, "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), *map(pa.array, fps.T.copy()), pa.array(sizes, pa.int64()), lists], ["id", "node", *LANES, "size", "keys"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, node long, {', '.join(f'{x} long' for x in LANES)}, keys array<long>")
+    return texts.mapInArrow(run, f"id {kind}, node long, {', '.join(f'{x} long' for x in LANES)}, size long, keys array<long>")
+
+
+def in_reach(tree: simhash.BKTree, fp: int, i: int, roots: list[int], sizes: list[int], near: list[int], similarity: float) -> Iterator[tuple[int, int]]:
+    """(bits, j) of the tree's places of other components whose sizes allow the similarity and whose
+    bits are in the reach of the smaller size."""
+    tree.radius = near[min(math.ceil(similarity * sizes[i] - 1e-9), SIZES - 1)]  # smaller sets are too small
+    for other, j, _ in tree.search(fp):
+        if roots[j] != roots[i]:
+            d, low, high = (other ^ fp).bit_count(), min(sizes[i], sizes[j]), max(sizes[i], sizes[j])
+            if d <= near[min(low, SIZES - 1)] and low >= similarity * high - 1e-9:
+                yield d, j
 
 
-def nearest_pairs(home: list[int], visitors: list[int], roots: list[int], near: int, sure: int) -> list[tuple[int, int, bool]]:
+def nearest_pairs(home: list[int], visitors: list[int], roots: list[int], sizes: list[int], near: list[int], sure: int, similarity: float) -> list[tuple[int, int, bool]]:
     """(i, j, whether sure): each place in home + visitors with the nearest place in home that is in
-    reach and in another component."""
-    tree, out = simhash.BKTree(near), {}
+    reach and in another component. near: reach by the smaller size."""
+    tree, out = simhash.BKTree(near[0]), {}
     for i, fp in enumerate(home):
         tree.insert(fp, i)
     for i, fp in enumerate(home + visitors):
-        others = (((n[0] ^ fp).bit_count(), n[1]) for n in tree.search(fp) if roots[n[1]] != roots[i])
-        d, j = min(others, default=(0, -1))
+        d, j = min(in_reach(tree, fp, i, roots, sizes, near, similarity), default=(0, -1))
         if j >= 0:
             out[min(i, j), max(i, j)] = d <= sure
     return [(i, j, certain) for (i, j), certain in out.items()]
 
 
-def cross_pairs(home: list[int], visitors: list[int], roots: list[int], near: int, sure: int) -> list[tuple[int, int, bool]]:
+def cross_pairs(home: list[int], visitors: list[int], roots: list[int], sizes: list[int], near: list[int], sure: int, similarity: float) -> list[tuple[int, int, bool]]:
     """(i, j, whether sure) of places in home + visitors, one at least in home: pairs in reach whose
     components differ. Sure links join components first, and only those that do are named."""
-    tree, at = simhash.BKTree(near), {}
+    tree, at = simhash.BKTree(near[0]), {}
     parent = [at.setdefault(r, i) for i, r in enumerate(roots)]
     pairs: list[tuple[int, int, int]] = []
 
@@ -159,7 +210,7 @@ def cross_pairs(home: list[int], visitors: list[int], roots: list[int], near: in
         return i
 
     for i, fp in enumerate(home + visitors):
-        pairs += [((n[0] ^ fp).bit_count(), i, n[1]) for n in tree.search(fp) if roots[n[1]] != roots[i]]
+        pairs += [(d, i, j) for d, j in in_reach(tree, fp, i, roots, sizes, near, similarity)]
         if i < len(home):
             tree.insert(fp, i)
     out = []
@@ -180,7 +231,7 @@ def shared_keys(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
     return materialize(spread.where("low < high").select("key", "count"), "shared-keys")
 
 
-def candidate_pairs(posts: DataFrame, classes: DataFrame, near: int, sure: int, roots: DataFrame | None, nearest: bool) -> DataFrame:
+def candidate_pairs(posts: DataFrame, classes: DataFrame, near: list[int], sure: int, similarity: float, roots: DataFrame | None, nearest: bool) -> DataFrame:
     """(a, b, sure) node pairs with a < b of different components, found in the trees of shards keyed
     by shingles. roots: (node, root) of the nodes linked so far."""
     n = F.ceil(F.col("count") / simhash.SHARD_ROWS).cast("int")
@@ -193,8 +244,8 @@ def candidate_pairs(posts: DataFrame, classes: DataFrame, near: int, sure: int,
         posts.join(shared_keys(posts, roots), "key")
         .select("key", "node", own.alias("own"), F.explode(F.sequence(own, n - 1)).alias("shard"))
         .select("key", "shard", (F.col("own") == F.col("shard")).alias("home"), "node")
-        .join(classes.select("node", root.alias("root"), *LANES), "node")
-        .select("key", "shard", "home", "node", "root", *LANES)
+        .join(classes.select("node", root.alias("root"), "size", *LANES), "node")
+        .select("key", "shard", "home", "node", "root", "size", *LANES)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,10 +253,10 @@ def candidate_pairs(posts: DataFrame, classes: DataFrame, near: int, sure: int,
             out: set[tuple[int, int, bool]] = set()
             for part in shards:
                 part = part[:, np.lexsort((part[3], part[2] == 0))]
-                lanes = part[5:].view(np.uint64).tolist()
+                lanes = part[6:].view(np.uint64).tolist()
                 fps = [sum(x << 64 * (len(row) - 1 - i) for i, x in enumerate(row)) for row in zip(*lanes)]
                 homes, node = int((part[2] == 1).sum()), part[3].tolist()
-                for i, j, certain in find(fps[:homes], fps[homes:], part[4].tolist(), near, sure):
+                for i, j, certain in find(fps[:homes], fps[homes:], part[4].tolist(), part[5].tolist(), near, sure, similarity):
                     out.add((min(node[i], node[j]), max(node[i], node[j]), certain))
             a, b, certain = zip(*sorted(out)) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(certain, pa.bool_())], ["a", "b", "sure"])
@@ -245,19 +296,20 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
 
     Texts without words (null, empty, blank) are equal to one another. Equal texts, repeated rows
     and ids share a node. Rows without an id take no part; other columns are ignored. An empty
-    table gives an empty table. A pair at exactly the similarity is missed where its fingerprints
-    differ by three deviations more than expected (about 1 in 700), and one just below it links
-    where they differ by three deviations less.
+    table gives an empty table. Of pairs at exactly the similarity, 1 in 700 at most is missed as its
+    fingerprints differ too much, whatever the sizes of the sets: the reach is taken from the exact
+    distribution for the smaller of them. One just below the similarity links where they differ by
+    three deviations less than expected of large sets.
     """
-    near, sure = reach(similarity, 3), reach(similarity, -3)
+    near, sure = reaches(similarity).tolist(), reach(similarity, -3)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     sketched = materialize(sketches(texts, words, similarity, crowding(texts, words)), "sketches")
-    classes = materialize(sketched.groupBy("node").agg(F.min("id").alias("id"), *[F.first(x).alias(x) for x in LANES]), "classes")
+    classes = materialize(sketched.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), *[F.first(x).alias(x) for x in LANES]), "classes")
     posts = materialize(sketched.select(F.explode("keys").alias("key"), "node").distinct(), "postings")
 
     links = roots = None
     for turn in range(NEAREST_ROUNDS + 1):
-        pairs = materialize(candidate_pairs(posts, classes, near, sure, roots, turn < NEAREST_ROUNDS), "candidates")
+        pairs = materialize(candidate_pairs(posts, classes, near, sure, similarity, roots, turn < NEAREST_ROUNDS), "candidates")
         found = materialize(pairs.where("sure").select("a", "b").unionByName(alike(pairs.where("not sure"), texts, classes, words, similarity)), "linked")
         links = found if links is None else links.unionByName(found)
         roots = connected_components(links)
