@@ -35,6 +35,15 @@ def test_top_k_ties_nulls_and_thresholds(spark):
     assert search.top_k(e.limit(0), q, 3).count() == 0
 
 
+def test_recall_asks_queries_of_the_whole_table(spark):
+    from vellum.plans import queries as plans
+
+    d = "/root/testdata/sf0.01"
+    want = {r["id"] for r in readers.embeddings(spark, d).where("id % 20 = 0").collect()}
+    got = plans.queries()["ann_recall"](spark, d).collect()
+    assert {r["query_id"] for r in got} == want
+
+
 def test_ir_hand_values(spark):
     run = spark.createDataFrame([("a", 1, "d1"), ("a", 2, "d9"), ("a", 3, "d2"), ("b", 1, "x"), ("z", 1, "d1")], "query_id string, rank int, id string")
     qrels = spark.createDataFrame([("a", "d1"), ("a", "d2"), ("b", None)], "query_id string, id string")
