@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,26 @@ def test_top_k_ties_nulls_and_thresholds(spark):
     assert search.top_k(e.limit(0), q, 3).count() == 0
 
 
+@pytest.mark.parametrize("name", ["ann_ivf_topk", "ann_lsh_topk"])
+def test_ann_recall_against_brute_force(spark, name):
+    from vellum.plans import queries as plans
+
+    d = "/root/testdata/sf0.1"
+    e = readers.embeddings(spark, d).select("id", "v").toArrow()
+    ids, x = np.array(e["id"].to_pylist()), np.array(e["v"].to_pylist())
+    got = {}
+    for r in plans.queries()[name](spark, d).collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    hits = 0
+    for q in asked:
+        dist = ((x - x[q]) ** 2).sum(1)
+        dist[q] = np.inf
+        hits += len(got[ids[q]] & set(ids[np.lexsort((ids, dist))[:10]].tolist()))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_recall_asks_queries_of_the_whole_table(spark):
     from vellum.plans import queries as plans
 
