@@ -65,6 +65,30 @@ def test_recall_asks_queries_of_the_whole_table(spark):
     assert {r["query_id"] for r in got} == want
 
 
+def test_silhouette_in_blocks(spark):
+    r = np.random.default_rng(2)
+    x, cell = r.normal(size=(50, 4)), r.integers(0, 3, 50)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    want = []
+    for i in range(50):
+        mean = {c: d[i, (cell == c) & (np.arange(50) != i)].mean() for c in range(3)}
+        own, near = mean[cell[i]], min(m for c, m in mean.items() if c != cell[i])
+        want.append((near - own) / max(near, own))
+    points = spark.createDataFrame([(i, int(c), [float(y) for y in v]) for i, (c, v) in enumerate(zip(cell, x))], "id long, cell int, v array<double>")
+    for rows in (7, 1024):
+        assert search.silhouette(points, rows).first()[0] == pytest.approx(np.mean(want))
+
+
+def test_cluster_members_are_the_whole_table(spark, monkeypatch):
+    from vellum.plans import queries as plans
+
+    d, tried, plain = "/root/testdata/sf0.001", [], search.silhouette
+    monkeypatch.setattr(search, "silhouette", lambda p: (tried.append(p.select("cell").distinct().count()), plain(p))[1])
+    got = plans.queries()["cluster_members"](spark, d)
+    assert {r["id"] for r in got.collect()} == {r["id"] for r in readers.embeddings(spark, d).where("v is not null").collect()}
+    assert tried == [2, 3, 4, 5, 6, 7]
+
+
 def test_ir_hand_values(spark):
     run = spark.createDataFrame([("a", 1, "d1"), ("a", 2, "d9"), ("a", 3, "d2"), ("b", 1, "x"), ("z", 1, "d1")], "query_id string, rank int, id string")
     qrels = spark.createDataFrame([("a", "d1"), ("a", "d2"), ("b", None)], "query_id string, id string")

@@ -543,7 +543,7 @@ def _(s, d):
 
 @query("cluster_members")
 def _(s, d):
-    return search.cluster_sweep(embeddings(s, d).where("label = 1").select("id", "v"), 5)
+    return search.cluster_sweep(embeddings(s, d).where(V.complete(F.col("v"))).select("id", "v"))
 
 
 @query("source_csv_text")
