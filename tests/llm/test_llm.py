@@ -357,6 +357,12 @@ def test_best_keeps_the_better_row_of_an_id():
     assert sorted(best.rows()) == [(0, 1, 5.0), (0, 3, 2.0)]
 
 
+def test_best_counts_ids_not_rows():
+    best = Best(np.array([0]), 2, np.array([-np.inf]))
+    best.add(np.array([[*range(10, 40), 2.0, 1.0]]), np.array([1] * 30 + [2, 3]))
+    assert sorted(best.rows()) == [(0, 1, 39.0), (0, 2, 2.0)]
+
+
 def test_hilbert_neighbours_touch():
     g = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     k = hilbert_key(g, 3)
