@@ -9,28 +9,45 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"  # only where spark.checkpoint.dir is unset (single-machine tests)
+LOCAL_CHECKPOINTS = "/tmp/checkpoints"  # only where spark.checkpoint.dir is unset and the master is local
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share, as the session names it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return found or LOCAL_CHECKPOINTS
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet to the shared folder and read it back.
 
     This cuts lineage without depending on any executor staying alive, and the files give the
-    planner true sizes. The folder goes when the application ends.
+    planner true sizes. The folder goes with release(), or when the application ends. Files are
+    zstd, whose buffers end with their file; snappy's direct buffers stay until the heap is collected,
+    which many small files on an idle heap never bring about.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    at, files = _path(spark, path)
+    files.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete scratch tables that nothing will read again."""
+    for df in tables:
+        at, files = _path(df.sparkSession, df._scratch)
+        files.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
