@@ -48,12 +48,23 @@ def shingle_hashes(text: bytes | None, words: int) -> Iterator[np.ndarray]:
         yield np.array([digest(joined[a:b], SEED) for a, b in zip(first[at : at + CHUNK], last[at : at + CHUNK])], np.uint64)
 
 
+def _ones(h: np.ndarray) -> np.ndarray:
+    """Of each of the 64 bits, the number of hashes that have it set."""
+    return np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits set in over half the hashes, as unsigned 64 bits; 0 if there are none."""
+    ones = sum((_ones(hashes[at : at + CHUNK]) for at in range(0, len(hashes), CHUNK)), np.zeros(64, np.int64))
+    return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
+
+
 def fingerprint(text: bytes | None, words: int) -> int:
     """SimHash of the shingles of a text, as unsigned 64 bits; 0 if it has no word."""
     n, ones = 0, np.zeros(64, np.int64)
     for h in shingle_hashes(text, words):
         n += len(h)
-        ones += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        ones += _ones(h)
     return int(np.packbits(ones * 2 > n).view(">u8")[0])
 
 
@@ -217,10 +228,10 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_co
 
 def keep_lowest(docs: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
     """The rows of `docs` whose id names its component in `grouped` (id, component), one for each id, and those without id."""
-    stay = grouped.where("id = component").groupBy(F.col("id").alias(id_col)).count()
-    once = docs.join(stay.where("count = 1"), id_col, "left_semi")
-    often = docs.join(stay.where("count > 1"), id_col, "left_semi").dropDuplicates([id_col])
-    return once.unionByName(often).unionByName(docs.where(F.col(id_col).isNull()))
+    stay = materialize(grouped.where("id = component").groupBy(F.col("id").alias(id_col)).count(), "kept-ids")
+    kept = docs.join(stay.where("count = 1"), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    often = stay.where("count > 1")
+    return kept if often.isEmpty() else kept.unionByName(docs.join(often, id_col, "left_semi").dropDuplicates([id_col]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,60 +1,53 @@
 """Near-duplicate texts at a stated Jaccard similarity of word shingles, by SimHash and BK-trees.
 
-At a similarity of 0.8, 64-bit fingerprints differ in ten bits on average, and shards cut from bit
-blocks would number over a thousand for each. So here fingerprints have 256 bits, and shards are keyed
-by shingles: in one order of all shingles, two sets that are `similarity` alike share a shingle
-among the first n - ceil(similarity * n) + 1 of each (n its size). The order puts shingles from
-crowded hash buckets last, so that common lines and passages rarely key a shard. A shard's BK-tree
-finds fingerprints within the reach for their sizes. Those within `sure` link at once; the others are compared by the
-exact similarity of their shingle sets. That goes in rounds, so that a group of copies isn't compared
-pair by pair: NEAREST_ROUNDS times, each fingerprint of a shard meets the nearest one of another
-component (one row each), by which components grow; then, in shards that still hold several, all
-pairs in reach of different components are named.
+No bound on the bits of SimHash fingerprints holds for all pairs that are `similarity` alike, so here
+fingerprints order the work and never decide: a link is always an exact comparison of two shingle
+sets, and no pair that could be alike goes unexamined.
+
+1. Keys. In one order of all shingles, two sets that are `similarity` alike share one of the first
+   n - ceil(similarity * n) + 1 of each (n its size). The order puts shingles of crowded hash buckets
+   last, so that common lines and passages rarely are keys.
+2. Candidates. The sets that share a key meet in its shards with a sketch: the parity, for each of
+   512 (of large sets 4096) hash buckets, of the shingles in it. The parities of two sets differ in no
+   more places than the sets have different shingles, so a pair that differs in too many can't be
+   alike; the others are candidates. A task passes on only links that span their components.
+3. Links. The sets of a component of candidates, mostly a few, meet in one task. Each first looks for
+   its nearest ones in a BK-tree of the SimHash fingerprints and is compared with those; then every
+   set outside the largest component is compared with all others by an inverted list of their
+   shingles, until each pair of different components has been. Only links that span are passed on.
+
+Both kinds of group are dealt to several shards where they are large. First a member meets its own
+shard; then the members outside the group's largest component visit all the others. Output stays linear
+in the members, and the work of a group of copies is linear in it too; what is compared pair by pair
+are sets that pass the sketch and still are not alike.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from functools import cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import materialize
-from .components import connected_components
+from .common import materialize, release
+from .components import connected_components, star
 
-BITS = 256
-MISSED = 1 / 700  # share of pairs at exactly the similarity whose fingerprints may differ too much, for any sizes
-SIZES = 192  # sets of this size or more are given the reach of those one smaller
 BUCKET_BITS = 20  # shingles are counted in 2**20 hash buckets: one byte of each reaches every task
-NEAREST_ROUNDS = 1
 CROWD, LEAST = 4, 64  # a bucket is crowded at CROWD times the mean count, LEAST at least
 PENDING = 1 << 21  # shingles held before they are counted
-#: Sketch columns besides the id.
-LANES = [f"f{i}" for i in range(BITS // 64)]
-
-
-def mixed(h: np.ndarray, lane: int) -> np.ndarray:
-    """A fresh 64-bit hash of each hash."""
-    z = h + np.uint64(lane * 0x9E3779B97F4A7C15 % (1 << 64))
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
-def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
-    """BITS-bit SimHash of distinct shingle hashes as big-endian uint64 lanes; zero if there are none."""
-    ones = np.zeros(BITS, np.int64)
-    for at in range(0, len(shingles), simhash.CHUNK):
-        h = shingles[at : at + simhash.CHUNK]
-        lanes = np.stack([mixed(h, i + 1) for i in range(BITS // 64)], axis=1).astype(">u8")
-        ones += np.unpackbits(lanes.view(np.uint8).reshape(len(h), -1), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(shingles)).view(">u8")
+PARITY, WIDE = 512, 4096  # places of a sketch, and of that of a set of more than PARITY shingles
+KEY_ROWS = 8192  # members of a key's shard
+SET_ROWS, SET_SHINGLES = 2048, 1 << 22  # members of a candidate group's shard, and their shingles
+CHUNK_ROWS = 1 << 16  # rows of whole groups looked at together
+FEW = 16  # members of a group whose pairs are all looked at, many groups at once
+PIVOTS = 64  # members compared with all others at once
+NEAR_BITS, NEAREST = 14, 4  # SimHash radius in which a BK-tree is searched, and sets compared there
+BROADCAST_IDS = 200_000
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -62,52 +55,27 @@ def shingle_set(text: bytes | None, words: int) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *simhash.shingle_hashes(text, words)]))
 
 
-def node_of(fp: np.ndarray) -> int:
-    """A signed long that stands for a fingerprint."""
-    return int(np.uint64(xxhash.xxh64_intdigest(fp.tobytes(), simhash.SEED)).view(np.int64))
-
+def digest(shingles: np.ndarray) -> tuple[int, int]:
+    """128 bits, as two signed longs, that stand for a set."""
+    d = np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+    return int(d[0]), int(d[1])
 
-def odds(n: int) -> np.ndarray:
-    """Probability of each count of heads in n throws."""
-    from_one = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
-    return np.exp(from_one[n] - from_one - from_one[::-1] - n * math.log(2))
 
+def parity(shingles: np.ndarray) -> bytes:
+    """Of each of PARITY or WIDE hash buckets, whether it holds an odd number of the shingles."""
+    wide = WIDE if len(shingles) > PARITY else PARITY
+    odd = np.bincount((shingles & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
-def differing(a: int, b: int, both: int) -> float:
-    """Probability that a bit differs between the fingerprints of sets of a and b shingles that share `both`."""
 
-    def set_(n: int) -> np.ndarray:
-        """Probability of more than n / 2 ones, for each count of ones among the shared shingles."""
-        own = np.append(np.cumsum(odds(n - both)[::-1])[::-1], 0.0)  # of at least so many ones
-        return own[np.clip(n // 2 + 1 - np.arange(both + 1), 0, n - both + 1)]
+def folded(sketch: bytes) -> np.ndarray:
+    """A sketch as PARITY places: those of a wide one that agree modulo PARITY together."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, PARITY // 64), axis=0)
 
-    x, y = set_(a), set_(b)
-    return float(odds(both) @ (x * (1 - y) + y * (1 - x)))
 
-
-@cache
-def reaches(similarity: float, missed: float = MISSED) -> np.ndarray:
-    """For the smaller size of two sets (the last entry for larger ones), the bits in which their fingerprints
-    differ at most, but for a share `missed` of the pairs that are just `similarity` alike."""
-    k = np.arange(BITS + 1)
-    ways = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, BITS + 1)))])
-    ways = ways[-1] - ways - ways[::-1]
-    out = np.zeros(SIZES, np.int64)
-    for a in range(1, SIZES):
-        for b in range(a, math.floor(a / similarity + 1e-9) + 1):
-            both = math.ceil(similarity / (1 + similarity) * (a + b) - 1e-9)
-            p = max((differing(a, b, c) for c in range(both, min(a, both + 2) + 1)), default=0.0)
-            if p:
-                tail = np.cumsum(np.exp(ways + k * math.log(p) + (BITS - k) * math.log1p(-p))[::-1])[::-1]
-                out[a] = max(out[a], int(np.argmax(np.append(tail, 0.0) <= missed)) - 1)
-    out[0] = out[1:].max()
-    return np.maximum.accumulate(out[::-1])[::-1]
-
-
-def reach(similarity: float, deviations: float) -> int:
-    """Bits in which fingerprints of `similarity`-alike sets of one size differ, plus so many deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return max(0, math.floor(BITS * p + deviations * math.sqrt(BITS * p * (1 - p))))
+def most_different(sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Shingles in which two alike sets of together so many may differ."""
+    return sizes * ((1 - similarity) / (1 + similarity)) + 1e-6
 
 
 def crowding(texts: DataFrame, words: int) -> np.ndarray:
@@ -138,6 +106,7 @@ def crowding(texts: DataFrame, words: int) -> np.ndarray:
     mean = (counts.agg(F.sum("n")).first()[0] or 0) / (1 << BUCKET_BITS)
     bar = max(LEAST, CROWD * mean)
     crowded = counts.where(F.col("n") > bar).toArrow()  # 2**BUCKET_BITS / CROWD rows at most
+    release(counts)
     out = np.zeros(1 << BUCKET_BITS, np.uint8)
     out[crowded["bucket"].to_numpy()] = 1 + np.log2(crowded["n"].to_numpy() / bar).astype(np.uint8)
     return out
@@ -152,171 +121,293 @@ def first_shingles(shingles: np.ndarray, crowd: np.ndarray, similarity: float) -
 
 
 def sketches(texts: DataFrame, words: int, similarity: float, crowd: np.ndarray) -> DataFrame:
-    """(id, t) rows as (id, node, fingerprint lanes, size of the shingle set, keys)."""
+    """(id, t) rows as (id, digest d1 and d2, size, sketch, keys) of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, nodes, sizes, keys = np.zeros((b.num_rows, BITS // 64), np.int64), [], [], []
-            for i, text in enumerate(b.column(1)):
+            names, sizes, bits, keys = [], [], [], []
+            for text in b.column(1):
                 s = shingle_set(text.as_py(), words)
-                fp = wide_fingerprint(s)
-                fps[i] = fp.astype(np.uint64).view(np.int64)
-                nodes.append(node_of(fp))
+                names.append(digest(s))
                 sizes.append(len(s))
+                bits.append(parity(s))
                 keys.append(first_shingles(s, crowd, similarity).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = pa.array(np.concatenate([np.empty(0, np.int64), *keys]))
-            lists = pa.ListArray.from_arrays(pa.array(ends), flat)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), *map(pa.array, fps.T.copy()), pa.array(sizes, pa.int64()), lists], ["id", "node", *LANES, "size", "keys"])
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+            d1, d2 = np.array(names, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(d1), pa.array(d2), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), lists], ["id", "d1", "d2", "size", "bits", "keys"])
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, node long, {', '.join(f'{x} long' for x in LANES)}, size long, keys array<long>")
-
-
-def in_reach(tree: simhash.BKTree, fp: int, i: int, roots: list[int], sizes: list[int], near: list[int], similarity: float) -> Iterator[tuple[int, int]]:
-    """(bits, j) of the tree's places of other components whose sizes allow the similarity and whose
-    bits are in the reach of the smaller size."""
-    tree.radius = near[min(math.ceil(similarity * sizes[i] - 1e-9), SIZES - 1)]  # smaller sets are too small
-    for other, j, _ in tree.search(fp):
-        if roots[j] != roots[i]:
-            d, low, high = (other ^ fp).bit_count(), min(sizes[i], sizes[j]), max(sizes[i], sizes[j])
-            if d <= near[min(low, SIZES - 1)] and low >= similarity * high - 1e-9:
-                yield d, j
-
-
-def nearest_pairs(home: list[int], visitors: list[int], roots: list[int], sizes: list[int], near: list[int], sure: int, similarity: float) -> list[tuple[int, int, bool]]:
-    """(i, j, whether sure): each place in home + visitors with the nearest place in home that is in
-    reach and in another component. near: reach by the smaller size."""
-    tree, out = simhash.BKTree(near[0]), {}
-    for i, fp in enumerate(home):
-        tree.insert(fp, i)
-    for i, fp in enumerate(home + visitors):
-        d, j = min(in_reach(tree, fp, i, roots, sizes, near, similarity), default=(0, -1))
-        if j >= 0:
-            out[min(i, j), max(i, j)] = d <= sure
-    return [(i, j, certain) for (i, j), certain in out.items()]
-
-
-def cross_pairs(home: list[int], visitors: list[int], roots: list[int], sizes: list[int], near: list[int], sure: int, similarity: float) -> list[tuple[int, int, bool]]:
-    """(i, j, whether sure) of places in home + visitors, one at least in home: pairs in reach whose
-    components differ. Sure links join components first, and only those that do are named."""
-    tree, at = simhash.BKTree(near[0]), {}
-    parent = [at.setdefault(r, i) for i, r in enumerate(roots)]
-    pairs: list[tuple[int, int, int]] = []
-
-    def find(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = i = parent[parent[i]]
-        return i
-
-    for i, fp in enumerate(home + visitors):
-        pairs += [(d, i, j) for d, j in in_reach(tree, fp, i, roots, sizes, near, similarity)]
-        if i < len(home):
-            tree.insert(fp, i)
-    out = []
-    for d, i, j in sorted(pairs):
-        if find(i) != find(j):
-            out.append((i, j, d <= sure))
-            if d <= sure:
-                parent[find(i)] = find(j)
+    return texts.mapInArrow(run, f"id {kind}, d1 long, d2 long, size long, bits binary, keys array<long>")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by their first two columns -> tables of whole groups, of `least` rows if there are as
+    many, and the groups' bounds."""
+    kept: list[pa.RecordBatch] = []
+    rows, last = 0, False
+    batches = iter(batches)
+    while not last:
+        b = next(batches, None)
+        last = b is None
+        if b is not None and b.num_rows:
+            kept.append(b)
+            rows += b.num_rows
+        if not kept or not last and rows < least:
+            continue
+        t = pa.Table.from_batches(kept)
+        key, shard = (t.column(i).to_numpy() for i in (0, 1))
+        bounds = np.concatenate([[0], np.flatnonzero((key[1:] != key[:-1]) | (shard[1:] != shard[:-1])) + 1, [rows]])
+        kept, rows = [], 0
+        if not last:  # the last group may go on in the next batch
+            kept = t.slice(bounds[-2]).combine_chunks().to_batches()
+            rows, bounds = int(bounds[-1] - bounds[-2]), bounds[:-1]
+        if len(bounds) > 1:
+            yield t.slice(0, bounds[-1]), bounds
+
+
+def spanning(label: np.ndarray, homes: int, compare: Callable[[np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Links (member, home) that join the components of `label` wherever compare() finds a pair.
+
+    Members 0 to homes - 1 are at home, the others visit. compare(members) gives a row of booleans over
+    the homes for each. Every visitor, and every home outside the homes' largest component, is compared,
+    so all pairs of different components of which one is at home are looked at.
+    """
+    label, out = label.copy(), []
+    done = np.zeros(len(label), bool)
+    some = 1
+    while homes:
+        kinds, count = np.unique(label[:homes], return_counts=True)
+        todo = ~done & (label != kinds[count.argmax()])
+        if len(kinds) > 1:
+            todo[homes:] = ~done[homes:]
+        todo = np.flatnonzero(todo)[:some]
+        if not len(todo):
+            break
+        some = min(PIVOTS, 2 * some)
+        done[todo] = True
+        for i, row in zip(todo, compare(todo)):
+            near = np.flatnonzero(row & (label[:homes] != label[i]))
+            if len(near):
+                near = near[np.unique(label[near], return_index=True)[1]]
+                out += [(int(i), int(j)) for j in near]
+                label[np.isin(label, label[near])] = label[i]
     return out
 
 
-def shared_keys(posts: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """(key, count) of the keys of several nodes; given roots, of nodes of several components."""
-    if roots is None:
-        return materialize(posts.groupBy("key").count().where("count > 1"), "shared-keys")
-    root = F.coalesce("root", "node")
-    spread = posts.join(roots, "node", "left").groupBy("key").agg(F.count("*").alias("count"), F.min(root).alias("low"), F.max(root).alias("high"))
-    return materialize(spread.where("low < high").select("key", "count"), "shared-keys")
-
-
-def candidate_pairs(posts: DataFrame, classes: DataFrame, near: list[int], sure: int, similarity: float, roots: DataFrame | None, nearest: bool) -> DataFrame:
-    """(a, b, sure) node pairs with a < b of different components, found in the trees of shards keyed
-    by shingles. roots: (node, root) of the nodes linked so far."""
-    n = F.ceil(F.col("count") / simhash.SHARD_ROWS).cast("int")
-    own = F.pmod(F.xxhash64("node"), n).cast("int")
-    root = F.col("node")
-    if roots is not None:
-        classes, root = classes.join(roots, "node", "left"), F.coalesce("root", "node")
-    find = nearest_pairs if nearest else cross_pairs
-    dealt = (
-        posts.join(shared_keys(posts, roots), "key")
-        .select("key", "node", own.alias("own"), F.explode(F.sequence(own, n - 1)).alias("shard"))
-        .select("key", "shard", (F.col("own") == F.col("shard")).alias("home"), "node")
-        .join(classes.select("node", root.alias("root"), "size", *LANES), "node")
-        .select("key", "shard", "home", "node", "root", "size", *LANES)
-    )
+def candidate_links(similarity: float):
+    """(key, shard, home, node, root, size, bits), sorted by (key, shard, node) -> (a, b) links that span
+    the components of the pairs of a shard that may be alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shards in simhash.groups(batches, 2):
-            out: set[tuple[int, int, bool]] = set()
-            for part in shards:
-                part = part[:, np.lexsort((part[3], part[2] == 0))]
-                lanes = part[6:].view(np.uint64).tolist()
-                fps = [sum(x << 64 * (len(row) - 1 - i) for i, x in enumerate(row)) for row in zip(*lanes)]
-                homes, node = int((part[2] == 1).sum()), part[3].tolist()
-                for i, j, certain in find(fps[:homes], fps[homes:], part[4].tolist(), part[5].tolist(), near, sure, similarity):
-                    out.add((min(node[i], node[j]), max(node[i], node[j]), certain))
-            a, b, certain = zip(*sorted(out)) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(certain, pa.bool_())], ["a", "b", "sure"])
-
-    placed = dealt.repartition("key", "shard").sortWithinPartitions("key", "shard")
-    return placed.mapInArrow(run, "a long, b long, sure boolean").distinct()
-
-
-def alike(pairs: DataFrame, texts: DataFrame, classes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The (a, b) pairs whose shingle sets have the similarity."""
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for text in b.column(1):  # a row at a time: sets of long texts are large
-                s = shingle_set(text.as_py(), words)
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(wide_fingerprint(s))]), pa.array([s.tobytes()], pa.binary())], ["node", "s"])
+        held = (np.empty(0, np.int64), np.empty(0, np.int64))  # a row for each node linked so far
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*map(pa.array, held)], ["a", "b"])
+
+        for t, bounds in whole_groups(batches, CHUNK_ROWS):
+            home, node, root, size = (t.column(i).to_numpy() for i in range(2, 6))
+            raw = t.column(6).to_pylist()
+            bits = np.stack([folded(x) for x in raw])
+            at_wide = np.cumsum([len(x) > PARITY // 8 for x in raw]) - 1
+            is_wide = np.array([len(x) > PARITY // 8 for x in raw])
+            wide = np.array([np.frombuffer(x, np.uint64) for x in raw if len(x) > PARITY // 8], np.uint64).reshape(-1, WIDE // 64)
+
+            def fits(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+                """Whether the rows i and j, which broadcast, may be alike."""
+                a, b = size[i], size[j]
+                allowed = most_different(a + b, similarity)
+                good = np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-6
+                good &= np.bitwise_count(bits[i] ^ bits[j]).sum(axis=-1, dtype=np.int32) <= allowed
+                both = np.nonzero(good & is_wide[i] & is_wide[j])
+                for at in range(0, len(both[0]), CHUNK_ROWS):
+                    far = tuple(z[at : at + CHUNK_ROWS] for z in both)
+                    x, y = (np.broadcast_to(z, good.shape)[far] for z in (i, j))
+                    good[far] = np.bitwise_count(wide[at_wide[x]] ^ wide[at_wide[y]]).sum(axis=-1, dtype=np.int32) <= allowed[far]
+                return good
+
+            known = root != node
+            found, first, count = [held, (node[known], root[known])], bounds[:-1], np.diff(bounds)
+            for m in range(2, FEW + 1):
+                starts = first[count == m]
+                i, j = np.triu_indices(m, 1)
+                step = max(1, (CHUNK_ROWS * FEW) // len(i))
+                for at in range(0, len(starts), step):
+                    x, y = ((starts[at : at + step, None] + z).ravel() for z in (i, j))
+                    meet = (root[x] != root[y]) & ((home[x] == 1) | (home[y] == 1))
+                    x, y = x[meet], y[meet]
+                    order = np.lexsort((node[y], node[x]))  # a pair shares many keys: it is looked at once
+                    x, y = x[order], y[order]
+                    new = np.concatenate([np.ones(min(1, len(x)), bool), (node[x][1:] != node[x][:-1]) | (node[y][1:] != node[y][:-1])])
+                    x, y = x[new], y[new]
+                    good = fits(x, y)
+                    found.append((node[x[good]], node[y[good]]))
+            held = star(*(np.concatenate(z) for z in zip(*found)))
+            for start, m in zip(first[count > FEW].tolist(), count[count > FEW].tolist()):
+                place = start + np.argsort(home[start : start + m] != 1, kind="stable")
+                name, homes = node[place], int((home[place] == 1).sum())
+                at = np.minimum(np.searchsorted(held[0], name), max(0, len(held[0]) - 1))
+                label = np.where(held[0][at] == name, held[1][at], name) if len(held[0]) else name
+                links = spanning(label, homes, lambda some: fits(place[some][:, None], place[:homes][None, :]))
+                if links:
+                    a, b = np.array(links).T
+                    held = star(np.concatenate([held[0], name[a]]), np.concatenate([held[1], name[b]]))
+            if len(held[0]) > PENDING:
+                yield out()
+                held = (np.empty(0, np.int64), np.empty(0, np.int64))
+        yield out()
+
+    return run
+
+
+def set_links(sets: list[np.ndarray], homes: int, label: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links of places in `sets` that join the components of `label` where two sets are alike, one of
+    them among the first `homes`."""
+    size = np.array([len(s) for s in sets])
+    label, out = label.copy(), []
+
+    def alike(i: int, j: int) -> bool:
+        if min(size[i], size[j]) < similarity * max(size[i], size[j]) - 1e-9:
+            return False
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        return both >= similarity * (size[i] + size[j] - both) - 1e-9
+
+    tree = simhash.BKTree(NEAR_BITS)
+    for i, s in enumerate(sets):
+        fp = simhash.majority(s)
+        near = sorted(((other ^ fp).bit_count(), j) for other, j, _ in tree.search(fp) if label[j] != label[i])
+        for j in [j for _, j in near[:NEAREST]]:
+            if label[j] != label[i] and alike(i, j):
+                out.append((i, j))
+                label[label == label[i]] = label[j]
+        if i < homes:
+            tree.insert(fp, i)
+    if len(sets) == 2:
+        return out or ([(1, 0)] if label[0] != label[1] and alike(1, 0) else [])
+    if not homes or (label == label[0]).all():
+        return out
+    of = np.repeat(np.arange(homes), size[:homes])
+    flat = np.concatenate(sets[:homes])
+    order = np.argsort(flat, kind="stable")
+    flat, of = flat[order], of[order]
+
+    def compare(some: np.ndarray) -> np.ndarray:
+        rows = np.zeros((len(some), homes), bool)
+        for r, i in enumerate(some):
+            lo, hi = np.searchsorted(flat, sets[i]), np.searchsorted(flat, sets[i], "right")
+            n = hi - lo
+            met = of[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+            both = np.bincount(met, minlength=homes)
+            rows[r] = both >= similarity * (size[:homes] + size[i] - both) - 1e-9
+        return rows
+
+    return out + spanning(label, homes, compare)
+
+
+def exact_links(similarity: float):
+    """(key, shard, home, node, root, s), sorted by (key, shard, node) -> (a, b) links that span the
+    components of the alike sets of a shard. Rows that repeat a node count once."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, bounds in whole_groups(batches, 1):
+            home, node, root = (t.column(i).to_numpy() for i in (2, 3, 4))
+            column = t.column(5).combine_chunks()
+            found: list[tuple[int, int]] = []
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                once = start + np.flatnonzero(np.concatenate([[True], node[start + 1 : end] != node[start : end - 1]]))
+                if len(once) < 2:
+                    continue
+                place = once[np.argsort(home[once] != 1, kind="stable")]
+                sets = [np.frombuffer(column[int(i)].as_buffer(), np.uint64) for i in place]
+                links = set_links(sets, int((home[place] == 1).sum()), root[place], similarity)
+                found += [(int(node[place[i]]), int(node[place[j]])) for i, j in links]
+            a, b = np.array(found, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(a.copy()), pa.array(b.copy())], ["a", "b"])
+
+    return run
+
+
+def group_links(members: DataFrame, shards: Column, join: Callable[[DataFrame], DataFrame], run: Callable) -> DataFrame:
+    """(key, node, and what `shards` needs) -> (a, b) links found by `run` in the groups of a key.
+
+    join() adds the columns that `run` needs after (key, shard, home, node, root). Groups of one shard
+    are settled at once; where a group has several, a member meets its own shard first, and those
+    outside the group's largest component so far then visit the others.
+    """
+    own = F.pmod(F.xxhash64("node"), F.col("n")).cast("int")
+    counts = members.groupBy("key").agg(F.count("*").alias("m"), shards.alias("n")).where("m > 1").select("key", "n")
+    counts = materialize(counts, "group-sizes")
+
+    def found(rows: DataFrame) -> DataFrame:
+        placed = join(rows).repartition("key", "shard").sortWithinPartitions("key", "shard", "node")
+        return placed.mapInArrow(run, "a long, b long")
+
+    dealt = members.select("key", "node").join(counts, "key").withColumn("shard", own)
+    first = materialize(found(dealt.select("key", "shard", F.lit(1).alias("home"), "node", F.col("node").alias("root"))), "group-links")
+    large = counts.where("n > 1")
+    if large.isEmpty():
+        return first
+    roots = connected_components(first)
+    split = members.select("key", "node").join(large, "key").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = materialize(split, "large-groups")
+    most = split.groupBy("key", "root").count().groupBy("key").agg(F.max(F.struct("count", "root")).alias("top"), F.count("*").alias("several")).where("several > 1")
+    split = split.join(most.select("key", F.col("top.root").alias("main")), "key").withColumn("own", own)
+    visits = F.when(F.col("root") == F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0), F.col("n").cast("int") - 1))
+    rows = split.select("key", F.explode(visits).alias("shard"), "own", "node", "root")
+    second = found(rows.select("key", "shard", (F.col("own") == F.col("shard")).cast("int").alias("home"), "node", "root"))
+    return materialize(first.unionByName(second), "group-links")
+
+
+def shingle_sets(asked: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(id, d1, d2, node) -> (node, s): the set of each node, from a text of its id and digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = (np.frombuffer(z.as_buffer(), np.uint64) for z in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            d1, d2 = (b.column(i).to_pylist() for i in (1, 2))
+            for i, text in enumerate(b.column(3)):  # a row at a time: sets of long texts are large
+                s = shingle_set(text.as_py(), words)
+                if digest(s) == (d1[i], d2[i]):
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([s.tobytes()], pa.binary())], ["node", "s"])
 
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = classes.join(asked, "node", "left_semi").select("id")
-    found = materialize(texts.join(ids, "id", "left_semi").mapInArrow(sets, "node long, s binary").dropDuplicates(["node"]), "shingle-sets")
-    left = found.select(F.col("node").alias("a"), F.col("s").alias("x"))
-    right = found.select(F.col("node").alias("b"), F.col("s").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    if asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        asked = F.broadcast(asked)
+    return texts.join(asked, "id").select("node", "d1", "d2", "t").mapInArrow(run, "node long, s binary")
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row of `docs` that has an id as (id, node, component): the smallest id it reaches over links.
 
-    Texts without words (null, empty, blank) are equal to one another. Equal texts, repeated rows
-    and ids share a node. Rows without an id take no part; other columns are ignored. An empty
-    table gives an empty table. Of pairs at exactly the similarity, 1 in 700 at most is missed as its
-    fingerprints differ too much, whatever the sizes of the sets: the reach is taken from the exact
-    distribution for the smaller of them. One just below the similarity links where they differ by
-    three deviations less than expected of large sets.
+    Two texts are linked if the Jaccard similarity of their shingle sets is `similarity` or more, all
+    of them and no others. Texts without words (null, empty, blank) are equal to one another. Equal
+    sets, repeated rows and ids share a node. Rows without an id take no part; other columns are
+    ignored. An empty table gives an empty table. Shingles are told apart by 64-bit hashes, sets by
+    128-bit ones; ids that aren't integers name their nodes by a 64-bit hash.
     """
-    near, sure = reaches(similarity).tolist(), reach(similarity, -3)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     sketched = materialize(sketches(texts, words, similarity, crowding(texts, words)), "sketches")
-    classes = materialize(sketched.groupBy("node").agg(F.min("id").alias("id"), F.first("size").alias("size"), *[F.first(x).alias(x) for x in LANES]), "classes")
-    posts = materialize(sketched.select(F.explode("keys").alias("key"), "node").distinct(), "postings")
-
-    links = roots = None
-    for turn in range(NEAREST_ROUNDS + 1):
-        pairs = materialize(candidate_pairs(posts, classes, near, sure, similarity, roots, turn < NEAREST_ROUNDS), "candidates")
-        found = materialize(pairs.where("sure").select("a", "b").unionByName(alike(pairs.where("not sure"), texts, classes, words, similarity)), "linked")
-        links = found if links is None else links.unionByName(found)
-        roots = connected_components(links)
-    named = classes.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    lows = named.groupBy("root").agg(F.min("id").alias("component"))
-    named = materialize(named.join(lows, "root").select("node", "component"), "roots")
-    return sketched.select("id", "node").join(named, "node").select("id", "node", "component")
+    node = F.col("id").cast("long") if texts.schema["id"].dataType.typeName() in ("byte", "short", "integer", "long") else F.xxhash64(F.col("id").cast("string"))
+    # Several texts of one id would share its name: the digest then tells the nodes apart.
+    classes = sketched.groupBy("d1", "d2").agg(F.min("id").alias("id"), *[F.first(x).alias(x) for x in ("size", "bits", "keys")])
+    classes = materialize(classes, "classes")
+    twice = materialize(classes.groupBy("id").count().where("count > 1").select("id", F.lit(True).alias("twice")), "named-twice")
+    named = classes.withColumn("node", node) if twice.isEmpty() else classes.join(twice, "id", "left").withColumn("node", F.when(F.col("twice"), F.xxhash64("d1", "d2")).otherwise(node)).drop("twice")
+
+    posts = named.select(F.explode("keys").alias("key"), "node")
+    sketch = named.select("node", "size", "bits")
+    shards = F.ceil(F.count("*") / KEY_ROWS)
+    candidates = group_links(posts, shards, lambda rows: rows.join(sketch, "node").select("key", "shard", "home", "node", "root", "size", "bits"), candidate_links(similarity))
+    groups = connected_components(candidates).withColumnRenamed("root", "key")
+    members = materialize(groups.join(named.select("node", "id", "d1", "d2", "size"), "node"), "candidates")
+    sets = materialize(shingle_sets(members.select("id", "d1", "d2", "node"), texts, words), "shingle-sets")
+    shards = F.ceil(F.greatest(F.count("*") / SET_ROWS, F.sum("size") / SET_SHINGLES))
+    links = group_links(members.select("key", "node", "size"), shards, lambda rows: rows.join(sets, "node").select("key", "shard", "home", "node", "root", "s"), exact_links(similarity))
+    release(sets)
+
+    roots = connected_components(links)
+    linked = named.select("d1", "d2", "id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lows = linked.groupBy("root").agg(F.min("id").alias("component"))
+    final = materialize(linked.join(lows, "root").select("d1", "d2", "node", "component"), "roots")
+    return sketched.select("id", "d1", "d2").join(final, ["d1", "d2"]).select("id", "node", "component")
 
 
 def drop_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
