@@ -4,7 +4,10 @@ Documents are tokenized, ended by token 0, and cut into pieces only where longer
 The plan is made from the histogram of piece lengths alone, which has at most `capacity` entries
 whatever the corpus: best-fit decreasing over counts, where all pieces of a length that meet the same
 room are placed at once. Pieces then take the planned slots by joining on their rank within their
-length. The plan's rows number a small multiple of `capacity`, so it may be broadcast.
+length. A plan row holds all copies of a length that a group of sequences has. Each length opens or
+splits three groups at most, and a group has at most sqrt(2 * capacity) different lengths, so the plan
+has 3 * capacity * sqrt(2 * capacity) rows at most whatever the corpus (393,216 at 2048 tokens; some
+thousands on real histograms), and may be broadcast.
 """
 
 from __future__ import annotations
@@ -65,26 +68,26 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULA
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Best-fit decreasing over counts: rows (length, rank from, rank to, first sequence, offset).
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int, int]]:
+    """Best-fit decreasing over counts: rows (length, rank from, rank to, first sequence, offset, each).
 
-    Pieces of `length` with a rank in [from, to) go to sequence first + (rank - from), at `offset`.
+    Pieces of `length` with a rank r in [from, to) go to sequence first + (r - from) // each, at
+    offset + (r - from) % each * length.
     """
     rooms: list[int] = []  # sorted; rooms that some open sequences have
-    bins: dict[int, list[tuple[list[int], int]]] = {}  # room -> (lengths so far, sequences)
-    full: list[tuple[list[int], int]] = []
+    bins: dict[int, list[tuple[tuple, int]]] = {}  # room -> ((length, copies) so far, sequences)
+    full: list[tuple[tuple, int]] = []
 
-    def store(lengths: list[int], n: int) -> None:
-        room = capacity - sum(lengths)
+    def store(held: tuple, room: int, n: int) -> None:
         if not room:
-            full.append((lengths, n))
+            full.append((held, n))
         elif room in bins:
-            bins[room].append((lengths, n))
+            bins[room].append((held, n))
         else:
-            bins[room] = [(lengths, n)]
+            bins[room] = [(held, n)]
             insort(rooms, room)
 
-    def take(room: int) -> tuple[list[int], int]:
+    def take(room: int) -> tuple[tuple, int]:
         got = bins[room].pop()
         if not bins[room]:
             del bins[room]
@@ -95,21 +98,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
         left = histogram[length]
         while left:
             at = bisect_left(rooms, length)
-            lengths, n = take(rooms[at]) if at < len(rooms) else ([], left)
-            room = capacity - sum(lengths)
+            room = rooms[at] if at < len(rooms) else capacity
+            held, n = take(room) if at < len(rooms) else ((), left)
             each = min(room // length, left)  # the tightest sequence stays the tightest until no more fit
             filled = min(n, left // each)
-            store(lengths + [length] * each, filled)
-            if lengths and n > filled:
-                store(lengths, n - filled)
+            store((*held, (length, each)), room - length * each, filled)
+            if held and n > filled:
+                store(held, room, n - filled)
             left -= filled * each
     rows, rank, sequence = [], dict.fromkeys(histogram, 0), 0
-    for lengths, n in [*full, *(x for room in rooms for x in bins[room])]:
+    for held, n in [*full, *(x for room in rooms for x in bins[room])]:
         offset = 0
-        for length in lengths:
-            rows.append((length, rank[length], rank[length] + n, sequence, offset))
-            rank[length] += n
-            offset += length
+        for length, each in held:
+            rows.append((length, rank[length], rank[length] + n * each, sequence, offset, each))
+            rank[length] += n * each
+            offset += length * each
         sequence += n
     return rows
 
@@ -121,15 +124,17 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     sliced = materialize(pieces.withColumn("_slice", F.spark_partition_id()), "pieces")
     counts = materialize(sliced.groupBy("length", "_slice").count(), "piece-counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    rows = plan(histogram, capacity) or [(0, 0, 0, 0, 0)]
-    slots = spark.createDataFrame(rows, "length long, lo long, hi long, sequence long, offset long")
+    rows = plan(histogram, capacity) or [(0, 0, 0, 0, 0, 1)]
+    slots = spark.createDataFrame(rows, "length long, lo long, hi long, sequence long, offset long, each long")
     earlier = Window.partitionBy("length").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select("length", "_slice", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("length", "_slice").orderBy("ids_crc32", "id", "piece")) - 1
-    ranked = sliced.withColumn("_rank", rank).join(before, ["length", "_slice"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    # A row for each length and slice grows with the input: never broadcast. Both sides are placed alike already.
+    ranked = sliced.withColumn("_rank", rank).join(before.hint("merge"), ["length", "_slice"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
     slot = F.broadcast(slots.withColumnRenamed("length", "_l"))
     met = ranked.join(slot, (F.col("length") == F.col("_l")) & (F.col("_rank") >= F.col("lo")) & (F.col("_rank") < F.col("hi")))
-    return met.select(*pieces.columns, (F.col("sequence") + F.col("_rank") - F.col("lo")).alias("sequence_id"), "offset")
+    nth = F.col("_rank") - F.col("lo")
+    return met.select(*pieces.columns, (F.col("sequence") + F.floor(nth / F.col("each"))).alias("sequence_id"), (F.col("offset") + nth % F.col("each") * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
