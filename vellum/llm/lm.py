@@ -2,12 +2,12 @@
 
 A text is the stream of its A-Z lower-cased words, each followed by a space, but for the last space,
 which is a line end: the text's end. (Words hold neither.) Symbols are the stream's bytes; contexts
-are the up to DEPTH bytes before a symbol, with line ends before the start. The tree keeps a context
-if its parent (the context without its oldest byte) is kept and its next-symbol distribution tells
-enough from its parent's: the likelihood gain over the parent must exceed GAIN nats for each of its
-next symbols. Distributions are interpolated with the parent's by the number of distinct next symbols,
-down to a uniform one, so every stream has a probability. A symbol is scored by its longest kept
-context.
+are the up to DEPTH bytes before a symbol, with line ends before the start. Every context counted
+LEAST_COUNT times has a distribution, interpolated with its parent's (that of the context without its
+oldest byte) by the number of distinct next symbols, down to a uniform one, so every stream has a
+probability. The tree keeps a context if its distribution tells enough from its parent's (the likelihood
+gain over the parent must exceed GAIN nats for each of its next symbols), and with it all its suffixes.
+A symbol is scored by its longest kept context.
 
 Counts of all training texts are gathered per context and symbol by a shuffle, after each task has
 summed its own. Bytes of a context are laid out latest first, so contexts of one parent sort together.
@@ -15,6 +15,7 @@ summed its own. Bytes of a context are laid out latest first, so contexts of one
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,35 +27,65 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, materialize, table
 
-DEPTH = 5
+DEPTH = 6
 LEAST_COUNT = 16
 GAIN = 2.0
 ALPHABET = 256
 TASK_GRAMS = 1 << 21  # distinct grams a task holds before it passes them on
 BATCH_BYTES = 1 << 21
-SHARD_ENTRIES = 1_500_000  # of the tree, broadcast at once (16 bytes each)
+SHARD_ENTRIES = 3_000_000  # of the tree, broadcast at once (12 bytes each)
 FREQUENT = 1 << 17  # words whose counts are broadcast; others' are joined
 END = b"\n"
 
 
-def stream(text: bytes | None) -> tuple[bytes, list[bytes]]:
-    words = text.lower().split() if text else []
-    return b" ".join(words) + END, words
+_SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def grams(streams: list[bytes], depth: int = DEPTH) -> np.ndarray:
-    """A code for each symbol of the streams: its context's bytes, latest first, then the symbol."""
-    pad = END * depth
-    a = np.frombuffer(pad + pad.join(streams), np.uint8)
+def stream(text: bytes | None) -> tuple[bytes, list[list[bytes]]]:
+    """A text's stream, and its words in lists; of a long text each is of about BATCH_BYTES, and nothing
+    else holds all its words."""
+    runs, joined, at = [], [], 0
+    while text and at < len(text):
+        cut = _SPACE.search(text, at + BATCH_BYTES)
+        end = cut.end() if cut else len(text)
+        if words := text[at:end].lower().split():
+            joined.append(b" ".join(words))
+            runs.append(words if end - at == len(text) else Words(words))
+        at = end
+    return b" ".join(joined) + END, runs
+
+
+class Words:
+    """A long text's run of words: as bytes until it is looked at."""
+
+    def __init__(self, words: list[bytes]):
+        self.n, self.joined = len(words), b" ".join(words)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __iter__(self) -> Iterator[bytes]:
+        return iter(self.joined.split())
+
+
+def padded(s: bytes) -> list[bytes]:
+    """A stream in pieces of up to BATCH_BYTES symbols, each after the DEPTH bytes before it."""
+    whole = END * DEPTH + s
+    return [whole[at : at + BATCH_BYTES + DEPTH] for at in range(0, len(s), BATCH_BYTES)]
+
+
+def grams(pieces: list[bytes], depth: int = DEPTH) -> np.ndarray:
+    """A code for each symbol of the pieces but their first `depth` bytes: its context's bytes, latest
+    first, then the symbol."""
+    a = np.frombuffer(b"".join(pieces), np.uint8)
     code = np.zeros(len(a) - depth, np.uint64)
     for back in range(1, depth + 1):
         code = code << np.uint64(8) | a[depth - back : len(a) - back]
     code = code << np.uint64(8) | a[depth:]
-    if len(streams) == 1:
+    if len(pieces) == 1:
         return code
-    sizes = np.array([len(s) for s in streams])
     keep = np.ones(len(code), bool)
-    after = np.cumsum(sizes[:-1] + depth) - depth
+    after = np.cumsum([len(x) for x in pieces[:-1]]) - depth
     keep[(after[:, None] + np.arange(depth)).ravel()] = False
     return code[keep]
 
@@ -95,12 +126,15 @@ def count_corpus(docs: DataFrame, train: Column, text_col: str) -> DataFrame:
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                s, w = stream(text)
-                words.update(w)
-                pending.append(s)
-                size += len(s)
-                if size >= BATCH_BYTES:
-                    fold()
+                s, runs = stream(text)
+                for w in runs:
+                    words.update(w)
+                for piece in padded(s):
+                    pending.append(piece)
+                    size += len(piece)
+                    if size >= BATCH_BYTES:
+                        fold()
+                if not pending:
                     if sum(len(h[0]) for h in held) > TASK_GRAMS:
                         held = [_merge(held)]
                         if len(held[0][0]) > TASK_GRAMS:
@@ -129,17 +163,24 @@ def tree(counts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, gain:
     c, k = (x or 0 for x in total.first())
     p0 = root.withColumn("p", (F.col("n") + k / ALPHABET) / (c + k)) if c else root.withColumn("p", F.lit(1.0 / ALPHABET))
     unseen = (k / ALPHABET) / (c + k) if c else 1.0 / ALPHABET
-    kept = p0
     spark = counts.sparkSession
     out = [p0.select(F.lit(0).alias("depth"), "context", "symbol", F.log10("p").alias("logp")), spark.createDataFrame([(0, 0, -1, float(np.log10(unseen)))], "depth int, context long, symbol long, logp double")]
+    levels, told, above = [], [], p0
     for d in range(1, depth + 1):
         rows = at[d].select(F.expr("shiftright(code, 8)").alias("context"), F.expr("code & 255").alias("symbol"), "n")
         sums = rows.groupBy("context").agg(F.sum("n").alias("c"), F.count("*").alias("k")).where(F.col("c") >= least)
-        up = kept.select(F.col("context").alias("parent"), "symbol", F.col("p").alias("q"))
+        up = above.select(F.col("context").alias("parent"), "symbol", F.col("p").alias("q"))
         met = rows.join(sums, "context").withColumn("parent", F.expr("shiftright(context, 8)")).join(up, ["parent", "symbol"])
         met = met.withColumn("p", (F.col("n") + F.col("k") * F.col("q")) / (F.col("c") + F.col("k")))
-        tells = met.groupBy("context").agg((F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))) - gain * F.count("*")).alias("g")).where("g > 0")
-        kept = materialize(met.join(tells.select("context"), "context", "left_semi"), f"tree-{d}")
+        above = materialize(met, f"level-{d}")
+        levels.append(above)
+        tells = above.groupBy("context").agg((F.sum(F.col("n") * F.log(F.col("p") / F.col("q"))) - gain * F.count("*")).alias("g")).where("g > 0")
+        told.append(tells.select("context"))
+    below = None
+    for d in range(depth, 0, -1):
+        retained = told[d - 1] if below is None else told[d - 1].unionByName(below.select(F.expr("shiftright(context, 8)").alias("context"))).distinct()
+        below = materialize(retained, f"retained-{d}")
+        kept = levels[d - 1].join(below, "context", "left_semi")
         out.append(kept.select(F.lit(d).alias("depth"), "context", "symbol", F.log10("p").alias("logp")))
         rest = kept.groupBy("context").agg(F.first("c").alias("c"), F.first("k").alias("k"))
         out.append(rest.select(F.lit(d).alias("depth"), "context", F.lit(-1).cast("long").alias("symbol"), F.log10(F.col("k") / (F.col("c") + F.col("k"))).alias("logp")))
@@ -150,9 +191,10 @@ def tree(counts: DataFrame, depth: int = DEPTH, least: int = LEAST_COUNT, gain:
 
 
 class SuffixTree:
-    """A part of the tree, as sorted arrays: contexts whose latest byte is in `latest` (None: all)."""
+    """A part of the tree, as sorted arrays: contexts whose two latest bytes, as a number, are in the
+    range `latest` (None: all)."""
 
-    def __init__(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], latest: np.ndarray | None):
+    def __init__(self, rows: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray], latest: tuple[int, int] | None):
         depth, context, symbol, logp = rows
         self.latest, self.depth = latest, int(depth.max(initial=0))
         self.contexts, self.weights, self.entries, self.values = [], [], [], []
@@ -161,7 +203,7 @@ class SuffixTree:
             order = np.argsort(context[w])
             self.contexts.append(context[w][order])
             self.weights.append(logp[w][order])
-            code = context[e] << 8 | symbol[e]
+            code = context[e] << 8 | symbol[e].astype(np.int64)
             order = np.argsort(code)
             self.entries.append(code[order])
             self.values.append(logp[e][order])
@@ -190,8 +232,68 @@ class SuffixTree:
             open_ = open_[~done]
         return out
 
-    def score(self, streams: list[bytes]) -> np.ndarray:
-        """Sum over each stream's symbols, of those whose latest context byte is this part's."""
+    def score(self, pieces: list[bytes]) -> np.ndarray:
+        """Sum over each padded piece's symbols, of those whose latest context bytes are this part's."""
+        codes = grams(pieces).view(np.int64)
+        order = np.argsort(codes)
+        ranked = codes[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+        value = np.empty(len(codes))
+        distinct = ranked[new]
+        p = self.logp(distinct)
+        if self.latest is not None:
+            pair = distinct >> (8 * (DEPTH - 1))
+            p = np.where((pair >= self.latest[0]) & (pair < self.latest[1]), p, 0.0)
+        value[order] = p[np.cumsum(new) - 1]
+        ends = np.cumsum([len(s) - DEPTH for s in pieces])
+        return np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
+
+    def score_streams(self, streams: list[bytes]) -> np.ndarray:
+        """Sum over each stream's symbols; long streams a piece at a time."""
+        out, held, rows, size = np.zeros(len(streams)), [], [], 0
+        for i, s in enumerate(streams):
+            for piece in padded(s):
+                held.append(piece)
+                rows.append(i)
+                size += len(piece)
+                if size >= BATCH_BYTES:
+                    np.add.at(out, rows, self.score(held))
+                    held, rows, size = [], [], 0
+        if held:
+            np.add.at(out, rows, self.score(held))
+        return out
+
+
+def tree_parts(rows: DataFrame, most: int | None = None) -> list[tuple[int, int] | None]:
+    """Ranges of the two latest context bytes whose entries number `most` at most together, or hold one
+    pair only (None: all at once). Contexts of one byte belong to each range that has it first."""
+    most = most or SHARD_ENTRIES
+    pair = F.expr("CASE WHEN depth = 0 THEN -1 WHEN depth = 1 THEN shiftleft(context, 8) ELSE shiftright(context, 8 * (depth - 2)) END")
+    by = {r["b"]: r["count"] for r in rows.groupBy(pair.alias("b")).count().collect()}  # 2**16 + 1 rows at most
+    root = by.pop(-1, 0)
+    if root + sum(by.values()) <= most:
+        return [None]
+    parts, start, size = [], 0, root
+    for b in sorted(by):
+        if size + by[b] > most and size > root:
+            parts.append((start, b))
+            start, size = b, root
+        size += by[b]
+    return [*parts, (start, 1 << 16)]
+
+
+def part_rows(rows: DataFrame, latest: tuple[int, int] | None) -> DataFrame:
+    """The tree's entries that a range of tree_parts() needs."""
+    if latest is None:
+        return rows
+    low, high = latest
+    one = (F.col("depth") == 1) & F.col("context").between(low >> 8, (high - 1) >> 8)
+    more = (F.col("depth") > 1) & F.expr("shiftright(context, 8 * (depth - 2))").between(low, high - 1)
+    return rows.where((F.col("depth") == 0) | one | more)
+
+
+def score(self, streams: list[bytes]) -> np.ndarray:
+        """Sum over each stream's symbols, of those whose latest context bytes are this part's."""
         codes = grams(streams).view(np.int64)
         order = np.argsort(codes)
         ranked = codes[order]
@@ -200,7 +302,8 @@ class SuffixTree:
         distinct = ranked[new]
         p = self.logp(distinct)
         if self.latest is not None:
-            p = np.where(self.latest[distinct >> (8 * DEPTH)], p, 0.0)
+            pair = distinct >> (8 * (DEPTH - 1))
+            p = np.where((pair >= self.latest[0]) & (pair < self.latest[1]), p, 0.0)
         value[order] = p[np.cumsum(new) - 1]
         ends = np.cumsum([len(s) for s in streams])
         return np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
@@ -247,12 +350,11 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("t"))
     kind = docs.schema[id_col].dataType.simpleString()
-    done = None
-    for i, latest in enumerate(tree_parts(model)):
-        part = model
-        if latest is not None:
-            part = model.where((F.col("depth") == 0) | F.expr("shiftright(context, 8 * (depth - 1))").isin(np.flatnonzero(latest).tolist()))
-        columns = part.select("depth", "context", "symbol", "logp").toArrow().columns
+    parts, done = tree_parts(model), None
+    if len(parts) > 1:
+        keyed = materialize(keyed, "numbered")  # the passes join by row number: it is given once
+    for i, latest in enumerate(parts):
+        columns = part_rows(model, latest).select(F.col("depth").cast("tinyint"), "context", F.col("symbol").cast("smallint"), F.col("logp").cast("float")).toArrow().columns
         piece = spark.sparkContext.broadcast(SuffixTree(tuple(c.to_numpy() for c in columns), latest))
         del columns
 
@@ -264,16 +366,18 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                 while at < len(texts):
                     streams, size, start, rows = [], 0, at, []
                     while at < len(texts) and size < BATCH_BYTES:
-                        s, w = stream(texts[at])
+                        s, runs = stream(texts[at])
                         streams.append(s)
                         size += len(s)
                         at += 1
                         if not first:
                             continue
-                        own = Counter(w)
+                        own: Counter = Counter()
+                        for w in runs:
+                            own.update(w)
                         h = np.fromiter((xxhash.xxh64_intdigest(x) for x in own), np.uint64, len(own)).view(np.int64)
-                        rows.append((len(w) + 1, h, np.fromiter(own.values(), np.int64, len(own))))
-                    value = piece.value.score(streams)
+                        rows.append((sum(map(len, runs)) + 1, h, np.fromiter(own.values(), np.int64, len(own))))
+                    value = piece.value.score_streams(streams)
                     columns = [b.column(0).slice(start, at - start), b.column(1).slice(start, at - start), pa.array(value)]
                     if first:
                         sizes = np.array([len(r[1]) for r in rows])
@@ -290,6 +394,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
         fields = f"row long, id {kind}, score double" + (", n_tokens long, base double, known long, rare array<long>, rare_n array<long>" if not i else "")
         scored = materialize(keyed.mapInArrow(run, fields), "scored")
+        piece.unpersist()
         done = scored if done is None else done.join(scored.select("row", F.col("score").alias("more")), "row").withColumn("score", F.col("score") + F.col("more")).drop("more")
 
     tail = done.select("row", F.explode(F.arrays_zip("rare", "rare_n")).alias("x")).select("row", F.col("x.rare").alias("word"), F.col("x.rare_n").alias("m"))
