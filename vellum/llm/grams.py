@@ -39,24 +39,36 @@ def spectrum(text: bytes, seen: np.ndarray) -> np.ndarray:
     return places
 
 
-def sample_per_class(rows: DataFrame, label: str, per_class: int, id_col: str) -> DataFrame:
-    """At most `per_class` rows of each label, by a hash of the id.
+SLICES = 32  # a label's rows are ranked in so many slices before they meet
+
+
+def _least(rows: DataFrame, per_class: int) -> DataFrame:
+    """Of (label, order, ...) rows, the per_class least of each label: first of each slice of a label,
+    so that one label's task sees SLICES * per_class rows at most."""
+    for by in (("label", F.pmod(F.hash("order"), F.lit(SLICES))), ("label",)):
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy("order"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= per_class).drop("rank")
+    return rows
+
+
+def sample_per_class(rows: DataFrame, label: str, per_class: int, id_col: str, text: str) -> DataFrame:
+    """(label, t): at most `per_class` rows of each label, by a hash of the id; t is the text in bytes.
 
     Ids are chosen first, without their texts, which only the chosen rows are then read for. Rows
-    that share an id come together, so the bound is applied once more to what was read.
+    that share an id come together, so the bound is applied once more to what was read. Whatever
+    else `rows` holds and however it is named is left out.
     """
-    order = F.struct(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    ids = rows.select(id_col, label).withColumn("_rank", rank).where(F.col("_rank") <= per_class).select(id_col).distinct()
+    order = F.struct(F.xxhash64(F.col(id_col).cast("string")), F.col(id_col)).alias("order")
+    ids = _least(rows.select(F.col(label).alias("label"), order, F.col(id_col).alias("id")), per_class).select("id").distinct()
     ids = materialize(ids, "sample-ids")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    read = rows.join(ids, id_col, "left_semi")
-    return read.withColumn("_rank", rank).where(F.col("_rank") <= per_class).drop("_rank")
+    read = rows.select(F.col(label).alias("label"), order, F.col(id_col).alias("id"), F.col(text).cast("binary").alias("t")).join(ids, "id", "left_semi")
+    return _least(read, per_class).select("label", "t")
 
 
-def present_places(rows: DataFrame, label: str, text: str, features, width: int) -> tuple[list[str], list[np.ndarray]]:
-    """Labels and sorted present places of a bounded sample, computed on the executors.
+def present_places(rows: DataFrame, features, width: int) -> tuple[list[str], list[np.ndarray]]:
+    """Labels and sorted present places of a bounded sample of (label, t) rows, computed on the executors.
 
     `features(text, seen)` gives the places. A row is sent as its places or, where smaller, as width
     bits, so it takes width / 8 bytes at most whatever its text.
@@ -76,7 +88,7 @@ def present_places(rows: DataFrame, label: str, text: str, features, width: int)
                     packed.append(b"b" + np.packbits(row).tobytes())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["label", "packed"])
 
-    got = rows.select(F.col(label).cast("string").alias("label"), F.col(text).cast("binary").alias("t")).mapInArrow(run, "label string, packed binary").toArrow()
+    got = rows.select(F.col("label").cast("string"), "t").mapInArrow(run, "label string, packed binary").toArrow()
     both = sorted(zip(got["label"].to_pylist(), got["packed"].to_pylist()))  # whatever order tasks end in
     found = [np.frombuffer(x, "<i4", -1, 1) if x[:1] == b"p" else np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8, -1, 1), count=width)).astype(np.int32) for _, x in both]
     return [x for x, _ in both], found

@@ -26,6 +26,7 @@ PER_LANGUAGE = 400
 LANDMARKS_PER_LANGUAGE = 64
 RIDGE = 1e-2
 SHARPNESS = 4.0  # of the softmax that turns regression values into a score
+BATCH = 64  # texts scored by one product
 UNDETERMINED = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 
@@ -43,9 +44,13 @@ class StringKernelModel:
     bias: np.ndarray
 
     def decide(self, presence: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Best language and score of each row of present places."""
-        kernel = np.stack([self.weights[p].sum(axis=0) / np.sqrt(len(p)) for p in presence])
-        value = SHARPNESS * (kernel + self.bias)
+        """Best language and score of each row of present places, by a product of the batch's presence
+        matrix, as far as its columns hold anything, with their weights."""
+        used, place = np.unique(np.concatenate(presence), return_inverse=True)
+        size = np.array([len(p) for p in presence])
+        there = np.zeros((len(presence), len(used)), np.float32)
+        there[np.repeat(np.arange(len(size)), size), place] = np.repeat(1 / np.sqrt(size), size)
+        value = SHARPNESS * (there @ self.weights[used] + self.bias)
         value = np.exp(value - value.max(axis=1, keepdims=True))
         return value.argmax(axis=1), (value.max(axis=1) / value.sum(axis=1)).astype(np.float64)
 
@@ -53,8 +58,8 @@ class StringKernelModel:
 def fit(train: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> StringKernelModel:
     """Fit on rows with a language and text; rows without either are left out. No rows: no language."""
     usable = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0))
-    sample = sample_per_class(usable, lang_col, per_language, id_col)
-    labels, places = present_places(sample, lang_col, text_col, spectrum, SPECTRUM)
+    sample = sample_per_class(usable, lang_col, per_language, id_col, text_col)
+    labels, places = present_places(sample, spectrum, SPECTRUM)
     languages = sorted(set(labels))
     if not languages:
         return StringKernelModel([], np.zeros((SPECTRUM, 0), np.float32), np.zeros(0))
@@ -95,8 +100,8 @@ def predict(docs: DataFrame, model: StringKernelModel, id_col: str = "doc_id", t
             lang, score = np.full(b.num_rows, UNDETERMINED, object), np.zeros(b.num_rows)
             texts = b.column(1).to_pylist()
             known = [i for i, x in enumerate(texts) if has_letter(x)] if m.languages else []
-            for at in range(0, len(known), 256):
-                rows = known[at : at + 256]
+            for at in range(0, len(known), BATCH):
+                rows = known[at : at + BATCH]
                 best, value = m.decide([spectrum(texts[i], seen) for i in rows])
                 lang[rows], score[rows] = np.array(m.languages, object)[best], value
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang.tolist(), pa.string()), pa.array(score)], ["id", "lang_pred", "score"])

@@ -53,7 +53,10 @@ class NBSVM:
     shift: float
 
     def score(self, places: list[np.ndarray]) -> np.ndarray:
-        margin = np.array([self.weights[p].sum() / np.sqrt(max(1, len(p))) for p in places]) + self.bias
+        """Of each row of present places, by one sum over all rows' weights."""
+        size = np.array([len(p) for p in places], np.int64)
+        row = np.repeat(np.arange(len(places)), size)
+        margin = np.bincount(row, self.weights[np.concatenate([np.zeros(0, np.int64), *places])], len(places)) / np.sqrt(np.maximum(1, size)) + self.bias
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
@@ -94,11 +97,13 @@ def logistic(margin: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[flo
 
 def fit(train: DataFrame, label_col: str = "quality", text_col: str = "text", id_col: str = "doc_id", per_class: int = PER_CLASS) -> NBSVM:
     """Fit on rows labelled 0 or 1; other labels and null texts are left out. With fewer than two
-    classes the model scores every text with the one class there is, or 0.5 without any."""
+    classes the model scores every text with the one class there is, or 0.5 without any, which
+    predicts 1: a filter at 0.5 then keeps all. N-grams seen in one or two of the fitted texts have
+    weight 0, as nothing can be told from them."""
     usable = train.where(F.col(label_col).isin(0, 1) & F.col(text_col).isNotNull())
     share = {str(r["label"]): r["count"] for r in usable.groupBy(F.col(label_col).cast("string").alias("label")).count().collect()}
-    sample = sample_per_class(usable, label_col, per_class, id_col)
-    labels, rows = present_places(sample, label_col, text_col, indicators, WIDTH)
+    sample = sample_per_class(usable, label_col, per_class, id_col, text_col)
+    labels, rows = present_places(sample, indicators, WIDTH)
     y = np.array([1.0 if x == "1" else -1.0 for x in labels])
     if len(set(labels)) < 2:
         return NBSVM(np.zeros(WIDTH, np.float32), 0.0, 1e-3, 0.0 if not labels else 4.0 * y[0])
