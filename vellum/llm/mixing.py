@@ -144,16 +144,17 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     A row finds its copies by id, source and number of words; rows alike in all three share theirs,
     the first of them by text taking one more where they don't divide.
     """
-    took = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy("id", "source", "size").agg(F.sum("copies").alias("_k"), F.count("*").alias("_rows"))
-    took = took.select(F.col("id").alias("_i"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_k", "_rows").where("_k > 0")
+    took = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).groupBy("id", "source", "size").agg(F.sum("copies").alias("k"), F.count("*").alias("rows"))
+    took = took.select(F.col("id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "k", "rows").where("k > 0")
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.withColumn("_size", size)
-    same = F.col(id_col).eqNullSafe(F.col("_i")) & F.col(source_col).eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z"))
-    single = rows.join(took.where("_rows = 1"), same).withColumn("_each", F.col("_k"))
-    nth = F.row_number().over(Window.partitionBy("_i", "_s", "_z").orderBy(F.xxhash64(F.col(text_col))))
-    several = rows.join(took.where("_rows > 1"), same).withColumn("_nth", nth)
-    several = several.withColumn("_each", F.floor(F.col("_k") / F.col("_rows")) + (F.col("_nth") <= F.col("_k") % F.col("_rows")).cast("long")).where("_each > 0").drop("_nth")
-    return single.unionByName(several).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_each"))).select(docs.columns)
+    # The caller's row is one column, so its names meet none of ours.
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), size.alias("size"))
+    same = F.col("id").eqNullSafe(F.col("i")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    single = rows.join(took.where("rows = 1"), same).select("row", F.col("k").alias("each"))
+    nth = F.row_number().over(Window.partitionBy("i", "s", "z").orderBy(F.xxhash64(F.col("row").getField(text_col))))
+    several = rows.join(took.where("rows > 1"), same).withColumn("nth", nth)
+    several = several.select("row", (F.floor(F.col("k") / F.col("rows")) + (F.col("nth") <= F.col("k") % F.col("rows")).cast("long")).alias("each")).where("each > 0")
+    return single.unionByName(several).select("row", F.explode(F.sequence(F.lit(1).cast("long"), "each"))).select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -276,9 +276,10 @@ def cut(text: bytes, runs: list) -> tuple[bytes, list[tuple[int, int]]]:
     return np.frombuffer(text, np.uint8)[~covered].tobytes(), list(zip(a.tolist(), size.tolist()))
 
 
-def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows with the same id and text share a key; they count as occurrences of their own."""
-    return docs.withColumn("_key", F.xxhash64(F.col(id_col).cast("string"), F.col(text_col)))
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(key, row): the rows of `docs`, stored once with a number each; whatever their columns are
+    called, they meet no column of ours."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("key"), F.struct("*").alias("row")), "numbered")
 
 
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,9 +290,9 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     other. Strings are judged on the input. Other columns are ignored; an empty table gives an empty
     table.
     """
-    keyed = _with_key(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")), "id", "t")
-    runs = repeated_strings(keyed, "t", "_key").withColumnRenamed("key", "_key")
-    rows = keyed.select("_key", "id", F.col("t").cast("binary").alias("t")).join(runs, "_key", "left").select("id", "t", "runs")
+    keyed = _keyed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")))
+    runs = repeated_strings(keyed.select("key", "row.t"), "t", "key")
+    rows = keyed.join(runs, "key", "left").select("row.id", F.col("row.t").cast("binary").alias("t"), "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -309,17 +310,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """`docs`, all columns, with the repeated spans cut from the text. Bytes of a character cut in
     two go with it. Null texts stay null; other rows are as in find_repeats."""
     names = docs.columns
-    keyed = _with_key(docs, id_col, text_col)
-    runs = repeated_strings(keyed, text_col, "_key").withColumnRenamed("key", "_key")
-    rows = keyed.join(runs, "_key", "left").select(*names, "runs")
+    keyed = _keyed(docs)
+    text = F.col("row").getField(text_col)
+    runs = repeated_strings(keyed.select("key", text.alias("t")), "t", "key")
+    rows = keyed.join(runs, "key", "left").select("row", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
         for b in batches:
             for part in slices(b, SLICE):
-                texts = part.column(at).cast(pa.binary()).to_pylist()
-                kept = [t if t is None else cut(t, r)[0].decode("utf-8", "ignore") for t, r in zip(texts, part.column(len(names)).to_pylist())]
-                columns = [pa.array(kept, pa.string()) if i == at else part.column(i) for i in range(len(names))]
+                columns = part.column(0).flatten()
+                texts = columns[at].cast(pa.binary()).to_pylist()
+                kept = [t if t is None else cut(t, r)[0].decode("utf-8", "ignore") for t, r in zip(texts, part.column(1).to_pylist())]
+                columns[at] = pa.array(kept, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return rows.mapInArrow(run, docs.schema)
