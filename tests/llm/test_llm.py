@@ -1,5 +1,6 @@
 """Operators against brute force on small fixtures, with nulls, empty tables, ties and repeats."""
 
+import bisect
 import hashlib
 import random
 from collections import Counter
@@ -250,12 +251,30 @@ def test_packing(spark, docs, rows):
 
 
 def test_plan_places_every_piece():
-    h = {1: 5, 700: 9, 1400: 3, 2048: 2, 30: 50}
-    ranks = Counter()
-    for length, lo, hi, _, _ in packing.plan(h, 2048):
-        for k in range(lo, hi):
-            ranks[length, k] += 1
-    assert ranks == Counter({(x, k): 1 for x, n in h.items() for k in range(n)})
+    for h in ({1: 5, 700: 9, 1400: 3, 2048: 2, 30: 50}, {1: 20_000, 3: 77, 5: 13}, {n: 1 + n % 7 for n in range(1, 400)}):
+        ranks, used = Counter(), {}
+        for length, lo, hi, first, offset, each in packing.plan(h, 2048):
+            for k in range(lo, hi):
+                ranks[length, k] += 1
+                used.setdefault(first + (k - lo) // each, []).append((offset + (k - lo) % each * length, length))
+        assert ranks == Counter({(x, k): 1 for x, n in h.items() for k in range(n)})
+        for places in used.values():
+            at = 0
+            for offset, length in sorted(places):
+                assert offset == at
+                at += length
+            assert at <= 2048
+        assert len(used) == best_fit(h, 2048)
+
+
+def best_fit(histogram, capacity):
+    """Sequences that best-fit decreasing opens, piece by piece."""
+    rooms = []
+    for length, n in sorted(histogram.items(), reverse=True):
+        for _ in range(n):
+            at = bisect.bisect_left(rooms, length)
+            bisect.insort(rooms, (rooms.pop(at) if at < len(rooms) else capacity) - length)
+    return len(rooms)
 
 
 def test_mixing(spark, docs, rows):
@@ -327,10 +346,67 @@ def test_suffix_tree_is_a_distribution(spark, docs):
     got = lm.tree(counts, least=4, gain=0.5).select("depth", "context", "symbol", "logp").toArrow().columns
     tree = lm.SuffixTree(tuple(x.to_numpy() for x in got), None)
     assert max(len(c) for c in tree.contexts[1:]) > 0
-    for start in (b"\n\n\n\n\n", b"abcde", b"ab ca", b"zzzzz"):
+    for start in (b"\n\n\n\n\n\n", b"abcdef", b"ab cab", b"zzzzzz"):
         context = int.from_bytes(start[::-1], "big")
         codes = np.array([context << 8 | s for s in range(256)])
-        assert (10 ** tree.logp(codes)).sum() == pytest.approx(1)
+        assert (10 ** tree.logp(codes)).sum() == pytest.approx(1, rel=1e-5)
+
+
+def brute_suffix_tree(train, least, gain, depth):
+    """Plain Python: {context bytes: ({symbol: probability}, weight of the parent)} of the kept contexts."""
+    counts = Counter()
+    for s in train:
+        padded = lm.END * depth + s
+        for i in range(len(s)):
+            for d in range(depth + 1):
+                counts[padded[depth + i - d : depth + i], s[i]] += 1
+    by = {}
+    for (context, symbol), n in counts.items():
+        by.setdefault(context, {})[symbol] = n
+    total, kinds = sum(by[b""].values()), len(by[b""])
+    tree, told = {b"": ({s: (by[b""].get(s, 0) + kinds / 256) / (total + kinds) for s in range(256)}, 0.0)}, []
+    for context, seen in sorted(by.items(), key=lambda x: len(x[0])):
+        c, k = sum(seen.values()), len(seen)
+        if not context or c < least:
+            continue
+        up = tree[context[1:]][0]
+        own = {s: (n + k * up[s]) / (c + k) for s, n in seen.items()}
+        tree[context] = (own, k / (c + k))
+        if sum(n * np.log(own[s] / up[s]) for s, n in seen.items()) - gain * k > 0:
+            told.append(context)
+    return with_suffixes(tree, told)
+
+
+def brute_logp(tree, context, symbol):
+    while context not in tree:
+        context = context[1:]
+    own, rest = tree[context]
+    return np.log10(own[symbol]) if symbol in own else np.log10(rest) + brute_logp(tree, context[1:], symbol)
+
+
+def with_suffixes(tree, told):
+    return {c: v for c, v in tree.items() if c == b"" or any(x.endswith(c) for x in told)}
+
+
+@pytest.mark.parametrize("entries, batch", [(3_000_000, 1 << 21), (60, 50)])
+def test_lm_scores_by_the_suffix_tree(spark, monkeypatch, entries, batch):
+    """Against plain Python, whole and in several parts, texts whole and in pieces."""
+    monkeypatch.setattr(lm, "SHARD_ENTRIES", entries)
+    monkeypatch.setattr(lm, "BATCH_BYTES", batch)
+    r = random.Random(4)
+    pool = ["abcdx", "ebcdy", "fabcdx", "gebcdy", "the dog", "été", "zz"]
+    rows = [(i, " ".join(r.choice(pool) for _ in range(r.randint(0, 60)))) for i in range(40)] + [(40, None), (41, "a new thing"), (41, "a new thing")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tree = brute_suffix_tree([lm.stream((t or "").encode())[0] for i, t in rows if i < 30], lm.LEAST_COUNT, lm.GAIN, lm.DEPTH)
+    assert max(map(len, tree)) >= 4
+    want = []
+    for i, t in rows:
+        s = lm.stream((t or "").encode())[0]
+        padded = lm.END * lm.DEPTH + s
+        want.append((i, sum(brute_logp(tree, padded[k : k + lm.DEPTH], s[k]) for k in range(len(s)))))
+    got = sorted((x["id"], x["score"]) for x in lm.score(df, F.col("doc_id") < 30).collect())
+    assert [x[0] for x in got] == [x[0] for x in sorted(want)]
+    assert [x[1] for x in got] == pytest.approx([x[1] for x in sorted(want)], rel=1e-6)
 
 
 def vectors(spark):
@@ -425,6 +501,168 @@ def test_classifiers(spark):
     assert langid.predict(odd, langid.fit(train.limit(0))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_kernel_against_brute_force(spark):
+    """Kernel ridge regression on all pairs' kernels, with every text a landmark, gives the same decisions and scores."""
+    r = random.Random(8)
+    pools = {"x": ["alpha", "beta", "gamma"], "y": ["uno", "dos", "tres"], "z": ["ein", "zwei", "drei"]}
+    rows = [(i, " ".join(r.choice(pools[k] + ["shared", "words"]) for _ in range(r.randint(3, 9))), k) for i, k in enumerate("xyz" * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {x["id"]: x for x in langid.predict(df, langid.fit(df)).collect()}
+    seen = np.zeros(langid.SPECTRUM, bool)
+    grams = [set(langid.spectrum(t.encode(), seen).tolist()) for _, t, _ in rows]
+    kernel = np.array([[len(a & b) / np.sqrt(len(a) * len(b)) for b in grams] for a in grams])
+    y = np.array([2.0 * (np.array(["x", "y", "z"]) == k) - 1 for _, _, k in rows])
+    centred = y - y.mean(axis=0)  # classes of one size weigh alike
+    alpha = np.linalg.solve(kernel + langid.RIDGE * len(rows) / 100 * np.eye(len(rows)), centred)
+    value = langid.SHARPNESS * (kernel @ alpha + y.mean(axis=0))
+    p = np.exp(value - value.max(axis=1, keepdims=True))
+    for i, _, _ in rows:
+        assert got[i]["lang_pred"] == "xyz"[value[i].argmax()]
+        assert got[i]["score"] == pytest.approx(p[i].max() / p[i].sum(), abs=2e-3)
+
+
+def test_quality_dual_against_projected_gradient():
+    """The hinge-loss dual of a small problem, solved the slow way."""
+    r = np.random.default_rng(5)
+    y = np.where(r.random(60) < 0.5, 1.0, -1.0)
+    rows = [np.unique(r.integers(0, 12, 5) + (6 if k > 0 else 0)) for k in y]
+    values, cost = r.normal(1, 0.3, 20), np.full(60, 0.4)
+    w, bias = quality.dual_coordinate_descent(rows, values, y, cost, 4000)
+    x = np.zeros((60, 21))
+    for i, places in enumerate(rows):
+        x[i, places] = values[places] / np.sqrt(len(places))
+        x[i, 20] = 1
+    gram = (x * y[:, None]) @ (x * y[:, None]).T
+    alpha = np.zeros(60)
+    for _ in range(60_000):
+        alpha = np.clip(alpha - (gram @ alpha - 1) / np.linalg.norm(gram, 2), 0, cost)
+    primal = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    assert primal(np.append(w, bias)) == pytest.approx(primal((alpha * y) @ x), rel=1e-3)
+    fast = quality.NBSVM(w.astype(np.float32), bias, 2.0, 0.1).score([*rows, np.zeros(0, np.int64)])
+    slow = [1 / (1 + np.exp(-(2.0 * (w[places].sum() / np.sqrt(max(1, len(places))) + bias) + 0.1))) for places in [*rows, np.zeros(0, np.int64)]]
+    assert fast == pytest.approx(slow, rel=1e-5)
+
+
+def test_sample_per_class_takes_the_least_hashes(spark):
+    from vellum.llm import grams
+
+    rows = [(i, "ab"[i % 3 == 0], f"t{i}", "clash") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, kind string, text string, rank string")
+    got = Counter(x["label"] for x in grams.sample_per_class(df, "kind", 40, "doc_id", "text").collect())
+    assert got == {"a": 40, "b": 40}
+    order = df.withColumn("h", F.xxhash64(F.col("doc_id").cast("string"))).collect()
+    want = {x["text"] for k in "ab" for x in sorted((x for x in order if x["kind"] == k), key=lambda x: (x["h"], x["doc_id"]))[:40]}
+    assert {bytes(x["t"]).decode() for x in grams.sample_per_class(df, "kind", 40, "doc_id", "text").collect()} == want
+
+
+CLASHING = "id t key row runs rank label order size shard home node root bits keys n own d1 d2 s fp low component i s_ z k rows each nth copy source_size target w level bin block blocks p u _key _size _rank _slice piece start length v at run part no".split()
+
+
+def test_columns_that_clash_with_ours(spark, rows):
+    """Every operator and stage over documents whose extra columns have the names used inside."""
+    import corpus_pipeline as p
+
+    base = spark.createDataFrame([r[:5] for r in rows if r[0] is None or r[0] < 40], "doc_id long, text string, lang string, source string, n_chars long")
+    more = base.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASHING)])
+    both = lambda f: (Counter(map(str, f(base).collect())), Counter(map(str, f(more).collect())))
+    model = langid.fit(base)
+    for f in (simhash.near_duplicates, similar.similar_documents, lambda d: langid.predict(d, model), repeats.find_repeats, packing.pieces, sharding.shard, mixing.mix, lambda d: lm.score(d, F.lit(True)).select("id", "n_tokens", "n_known", F.round("base_score", 6), F.round("score", 6))):
+        a, b = both(f)
+        assert a == b
+    for f in (similar.drop_similar, repeats.remove_repeats, mixing.take_mix):
+        a, b = f(base), f(more)
+        assert b.columns == more.columns
+        assert Counter(map(str, a.collect())) == Counter(map(str, b.select(base.columns).collect()))
+        assert b.select(CLASHING).distinct().count() == 1
+    d = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 60").select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(CLASHING)])
+    for _, stage in p.STAGES[:-1]:
+        docs = stage(spark, docs, d)
+        assert docs.select(CLASHING).distinct().count() == 1
+    assert p.STAGES[-1][1](spark, docs, d).count() > 0
+
+
+def planted(seed=12):
+    """Documents, and labels by which one word makes a text bad: near copies, exact copies, a shared passage."""
+    r = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(900)]
+    make = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    texts = [make(r.randint(20, 120)) for _ in range(120)]
+    texts += [t + " more" for t in texts[:15]] + texts[15:25]
+    passage = make(70)
+    texts += [f"{make(50)} {passage} {make(50)}" for _ in range(4)] + ["", None]
+    bad = [f"{make(30)} rubbish spam rubbish" for _ in range(40)]
+    docs = [(i, t, "en", r.choice("pqr"), len(t or "")) for i, t in enumerate(texts + bad)]
+    labels = [(i, int(i < len(texts)), 0) for i in range(len(docs)) if i % 2 == 0]
+    return docs, labels, len(texts)
+
+
+def test_pipeline_stages_against_plain_python(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, labels, good = planted()
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    key = lambda r: (r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"])
+    stage = dict(p.STAGES)
+
+    model = quality.fit(quality.labelled(docs, spark.read.parquet(f"{d}/labels.parquet")))
+    seen = np.zeros(quality.WIDTH, bool)
+    passes = {r[0] for r in rows if model.score([quality.indicators((r[1] or "").encode(), seen)])[0] >= 0.5}
+    first = sorted(map(key, stage["quality_classifier"](spark, docs, d).collect()))
+    assert first == sorted(r for r in rows if r[0] in passes)
+    assert sum(i < good for i in passes) >= 0.95 * good and sum(i >= good for i in passes) <= 4
+
+    docs = spark.createDataFrame(first, docs.schema)
+    groups = similar_groups([r[0] for r in first], [r[1] for r in first], 5, 0.8)
+    second = sorted(map(key, stage["simhash_near_dedup"](spark, docs, d).collect()))
+    assert second == [r for r in first if r[0] in {low for _, low in groups}]
+    assert len(second) <= len(first) - 20
+
+    docs = spark.createDataFrame(second, docs.schema)
+    texts = [(r[1] or "").encode() for r in second]
+    count = Counter(t[i : i + 200] for t in texts for i in range(len(t) - 199))
+    want = []
+    for r, t in zip(second, texts):
+        gone = {j for i in range(len(t) - 199) if count[t[i : i + 200]] > 1 for j in range(i, i + 200)}
+        kept = None if r[1] is None else bytes(b for j, b in enumerate(t) if j not in gone).decode()
+        want.append((*r[:1], kept, *r[2:4], None if kept is None else len(kept)))
+    third = sorted(map(key, stage["suffix_array_dedup"](spark, docs, d).collect()))
+    assert third == want and sum(a[1] != b[1] for a, b in zip(second, third)) >= 3
+
+    docs = spark.createDataFrame(third, docs.schema)
+    copies_of = {r["id"]: r["copies"] for r in mixing.mix(docs).collect()}
+    fourth = sorted(map(key, stage["mix_sources"](spark, docs, d).collect()))
+    assert Counter(fourth) == Counter({r: copies_of[r[0]] for r in third if copies_of[r[0]]})
+
+    docs = spark.createDataFrame(fourth, docs.schema)
+    enc, packed = packing.encoder(), stage["best_fit_packing"](spark, docs, d).collect()
+    want = Counter()
+    for r in fourth:
+        ids = np.array([*enc.encode(r[1] or "", allowed_special="all"), 0], "<u4")
+        want[r[0], len(ids), crc32(ids.tobytes())] += 1
+    assert Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in packed) == want
+    whole = Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in p.run(spark, d).collect())
+    assert whole == want
+
+
+@pytest.mark.parametrize("n", [0, 1])
+def test_pipeline_stages_with_nulls_and_empty_tables(spark, tmp_path, n):
+    import corpus_pipeline as p
+
+    rows = [(1, None, None, None, None), (None, "no id", None, None, None), (1, "again", None, "s", 5), (2, "", "en", "s", 0), (2, "", "en", "s", 0)] * n
+    d = str(tmp_path)
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    for _, stage in p.STAGES[:-1]:
+        columns, docs = docs.columns, stage(spark, docs, d)
+        assert docs.columns == columns
+    assert (p.run(spark, d).count() > 0) == bool(n)
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
