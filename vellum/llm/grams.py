@@ -63,8 +63,8 @@ def sample_per_class(rows: DataFrame, label: str, per_class: int, id_col: str, t
     ids = materialize(ids, "sample-ids")
     if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    read = rows.select(F.col(label).alias("label"), order, F.col(id_col).alias("id"), F.col(text).cast("binary").alias("t")).join(ids, "id", "left_semi")
-    return _least(read, per_class).select("label", "t")
+    chosen = rows.join(ids.withColumnRenamed("id", id_col), id_col, "left_semi")  # reaches the scan of the texts
+    return _least(chosen.select(F.col(label).alias("label"), order, F.col(text).cast("binary").alias("t")), per_class).select("label", "t")
 
 
 def present_places(rows: DataFrame, features, width: int) -> tuple[list[str], list[np.ndarray]]:

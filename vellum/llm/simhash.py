@@ -26,6 +26,7 @@ from .components import connected_components
 
 SEED = 42
 SHARD_ROWS = 2048
+BROADCAST_IDS = 200_000
 CHUNK = 1 << 16  # shingles whose bits are counted at once
 
 
@@ -228,10 +229,15 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, radius: int = 4, id_co
 
 def keep_lowest(docs: DataFrame, grouped: DataFrame, id_col: str) -> DataFrame:
     """The rows of `docs` whose id names its component in `grouped` (id, component), one for each id, and those without id."""
-    stay = materialize(grouped.where("id = component").groupBy(F.col("id").alias(id_col)).count(), "kept-ids")
-    kept = docs.join(stay.where("count = 1"), id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
-    often = stay.where("count > 1")
-    return kept if often.isEmpty() else kept.unionByName(docs.join(often, id_col, "left_semi").dropDuplicates([id_col]))
+    row = F.col("id") == F.col("component")
+    ids = grouped.where("id is not null").groupBy(F.col("id").alias(id_col)).agg(F.max(row).alias("stays"), F.count("*").alias("rows"))
+    ids = materialize(ids.where("not stays or rows > 1"), "ids-to-drop")  # those that stay as they are, most, needn't meet the texts
+    n = ids.count()
+    if n <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    kept = docs.join(ids, id_col, "left_anti")
+    often = ids.where("stays")
+    return kept if not n or often.isEmpty() else kept.unionByName(docs.join(often, id_col, "left_semi").dropDuplicates([id_col]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

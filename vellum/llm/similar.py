@@ -47,7 +47,6 @@ CHUNK_ROWS = 1 << 16  # rows of whole groups looked at together
 FEW = 16  # members of a group whose pairs are all looked at, many groups at once
 PIVOTS = 64  # members compared with all others at once
 NEAR_BITS, NEAREST = 14, 4  # SimHash radius in which a BK-tree is searched, and sets compared there
-BROADCAST_IDS = 200_000
 
 
 def shingle_set(text: bytes | None, words: int) -> np.ndarray:
@@ -369,7 +368,7 @@ def shingle_sets(asked: DataFrame, texts: DataFrame, words: int) -> DataFrame:
                 if digest(s) == (d1[i], d2[i]):
                     yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([s.tobytes()], pa.binary())], ["node", "s"])
 
-    if asked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+    if asked.limit(simhash.BROADCAST_IDS + 1).count() <= simhash.BROADCAST_IDS:
         asked = F.broadcast(asked)
     return texts.join(asked, "id").select("node", "d1", "d2", "t").mapInArrow(run, "node long, s binary")
 
