@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, materialize, table
 
-DEPTH = 6
+DEPTH = 5
 LEAST_COUNT = 16
 GAIN = 2.0
 ALPHABET = 256
@@ -292,40 +292,6 @@ def part_rows(rows: DataFrame, latest: tuple[int, int] | None) -> DataFrame:
     return rows.where((F.col("depth") == 0) | one | more)
 
 
-def score(self, streams: list[bytes]) -> np.ndarray:
-        """Sum over each stream's symbols, of those whose latest context bytes are this part's."""
-        codes = grams(streams).view(np.int64)
-        order = np.argsort(codes)
-        ranked = codes[order]
-        new = np.concatenate([[True], ranked[1:] != ranked[:-1]])
-        value = np.empty(len(codes))
-        distinct = ranked[new]
-        p = self.logp(distinct)
-        if self.latest is not None:
-            pair = distinct >> (8 * (DEPTH - 1))
-            p = np.where((pair >= self.latest[0]) & (pair < self.latest[1]), p, 0.0)
-        value[order] = p[np.cumsum(new) - 1]
-        ends = np.cumsum([len(s) for s in streams])
-        return np.add.reduceat(value, np.concatenate([[0], ends[:-1]]))
-
-
-def tree_parts(rows: DataFrame, most: int = SHARD_ENTRIES) -> list[np.ndarray | None]:
-    """Sets of latest context bytes whose entries number `most` at most together (None: all at once)."""
-    by = {r["b"]: r["count"] for r in rows.groupBy(F.expr(f"CASE WHEN depth = 0 THEN -1 ELSE shiftright(context, 8 * (depth - 1)) END").alias("b")).count().collect()}
-    root = by.pop(-1, 0)
-    if root + sum(by.values()) <= most:
-        return [None]
-    parts, size = [np.zeros(256, bool)], root
-    for b, n in sorted(by.items(), key=lambda x: -x[1]):
-        if size + n > most and parts[-1].any():
-            parts.append(np.zeros(256, bool))
-            size = root
-        parts[-1][b] = True
-        size += n
-    parts[-1] |= ~np.logical_or.reduce(parts)  # bytes that no kept context ends in
-    return parts
-
-
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) per row of `docs`, learning from the
     rows where `train` holds.
