@@ -9,10 +9,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# UTF-8 text once read as Windows-1252, and what was meant.
+# Fixed values, in this order: UTF-8 text once read as Windows-1252, and what was meant.
 MOJIBAKE = {
-    "â€™": "'", "â€œ": '"', "â€\x9d": '"', "â€“": "–", "â€”": "—", "â€¦": "...",
+    "â€™": "'", "â€œ": '"', "â€\x9d": '"', 'â€"': "—",
     "Ã¡": "á", "Ã©": "é", "Ã­": "í", "Ã³": "ó", "Ãº": "ú",
+    "Ã\xa0": " ", "\ufeff": "",
 }
 # Fixed values, in this order.
 CONTRACTIONS = [("won't", "will not"), ("can't", "cannot"), ("n't", " not"), ("'re", " are"), ("'ve", " have"), ("'ll", " will"), ("'d", " would")]
@@ -36,9 +37,10 @@ def fix_mojibake(t: Column) -> Column:
 
 
 def normalize_space(t: Column, keep_structure: bool = True) -> Column:
+    # Fixed patterns.
     if not keep_structure:
         return F.regexp_replace(t, r"(?U)\s+", " ")
-    t = F.regexp_replace(t, r"\n\s*\n\s*\n+", "\n\n")
+    t = F.regexp_replace(t, r"(?U)\n\s*\n\s*\n+", "\n\n")
     t = F.regexp_replace(t, r"[ \t]+", " ")
     return F.regexp_replace(t, r" *\n *", "\n")
 
@@ -48,27 +50,33 @@ def drop_special(t: Column, keep_punctuation: bool = True) -> Column:
 
 
 def fix_common(t: Column) -> Column:
+    # Fixed patterns.
     t = F.regexp_replace(t, r"\.{3,}", "...")
-    t = F.regexp_replace(t, r"\s+([,.!?;:])", "$1")
+    t = F.regexp_replace(t, r"(?U)\s+([,.!?;:])", "$1")
     t = F.regexp_replace(t, r"([.!?])([A-Z])", "$1 $2")
     for short, long in CONTRACTIONS:
         t = F.replace(t, F.lit(short), F.lit(long))
     return t
 
 
-def clean(t: Column, keep_structure: bool = True, special: bool = False, unicode_form: bool = False) -> Column:
-    """Mojibake, white space, special characters on request, common faults, ends. Null gives "".
-    `unicode_form` adds NFKC after the mojibake table, the one step that needs Python."""
-    t = fix_mojibake(F.coalesce(t, F.lit("")))
-    t = nfkc(t) if unicode_form else t
+def clean(t: Column, keep_structure: bool = True, special: bool = False, unicode_form: bool = True, compat: bool = False) -> Column:
+    """Mojibake, NFKC, white space, special characters on request, common faults, ends. Null gives "".
+
+    NFKC is the one step that needs Python; `unicode_form=False` leaves it out. It comes after the
+    mojibake table, some of whose keys it would change; with `compat` it comes first, as it once did.
+    """
+    t = F.coalesce(t, F.lit(""))
+    t = nfkc(t) if unicode_form and compat else t
+    t = fix_mojibake(t)
+    t = nfkc(t) if unicode_form and not compat else t
     t = normalize_space(t, keep_structure)
     t = drop_special(t) if special else t
-    return F.regexp_replace(fix_common(t), r"^\s+|\s+$", "")
+    return F.regexp_replace(fix_common(t), r"(?U)^\s+|\s+$", "")
 
 
 def words(t: Column) -> Column:
     """Runs between white space."""
-    return F.filter(F.split(t, r"\s+"), lambda x: x != "")
+    return F.filter(F.split(t, r"(?U)\s+"), lambda x: x != "")
 
 
 def word_count(t: Column) -> Column:
@@ -148,6 +156,52 @@ def grade(score: Column) -> Column:
     return out
 
 
+# The least score of each verdict, best first, and the verdict under all of them.
+VERDICTS = {
+    "size": [(0.8, "Excellent - Very consistent chunk sizes"), (0.6, "Good - Reasonably consistent chunk sizes"), (0.4, "Fair - Some variation in chunk sizes"), (None, "Poor - Highly variable chunk sizes")],
+    "coverage": [(0.95, "Excellent - Complete coverage of original content"), (0.85, "Good - Most content preserved"), (0.7, "Fair - Some content may be missing"), (None, "Poor - Significant content loss")],
+    "overlap": [(0.8, "Excellent - Optimal overlap strategy"), (0.6, "Good - Reasonable overlap"), (None, "Poor - Suboptimal overlap strategy")],
+    "boundary": [(0.8, "Excellent - Clean sentence boundaries"), (0.6, "Good - Mostly clean boundaries"), (0.4, "Fair - Some awkward boundaries"), (None, "Poor - Many awkward boundaries")],
+    "coherence": [(0.8, "Excellent - Highly coherent chunks"), (0.6, "Good - Generally coherent"), (0.4, "Fair - Some coherence issues"), (None, "Poor - Low coherence")],
+    "overall": [(0.8, "Excellent chunking quality - Ready for production use"), (0.6, "Good chunking quality - Minor improvements possible"), (0.4, "Fair chunking quality - Consider adjusting parameters"), (None, "Poor chunking quality - Significant improvements needed")],
+}
+
+
+def verdict(score: Column, metric: str) -> Column:
+    *steps, (_, out) = VERDICTS[metric]
+    out = F.lit(out)
+    for least, said in reversed(steps):
+        out = F.when(score >= least, said).otherwise(out)
+    return out
+
+
+def structure(t: Column) -> list[Column]:
+    """What a text is made of, line by line. The list pattern is a fixed one, wider than has_lists()."""
+    lines = F.split(t, "\n")
+    return [
+        F.size(lines).alias("total_lines"), F.size(F.filter(lines, lambda x: ~x.rlike(r"(?U)\S"))).alias("empty_lines"),
+        (F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x)) / F.size(lines)).alias("avg_line_length"), F.contains(t, F.lit("```")).alias("has_code_blocks"),
+        t.rlike(r"(?m)^#{1,6}\s+").alias("has_headers"), t.rlike(r"(?m)^\s*[-*+\d]+[.)\s]").alias("has_lists"),
+        F.size(paragraphs(t)).alias("paragraphs"), content_type(t).alias("content_type"),
+    ]
+
+
+def truncated(t: Column, most: int, how: str = "end") -> Column:
+    """A text within `most` characters: its beginning (`end` is cut), both ends (`middle` is cut), or its
+    beginning up to the last full sentence that fits (`smart`; as `end` where none does)."""
+    if how == "middle":
+        half = (most - 3) // 2
+        cut = F.concat(F.substring(t, 1, most - 3 - half), F.lit("..."), F.substring(t, -half, half))
+    elif how in ("end", "smart"):
+        cut = F.concat(F.substring(t, 1, most - 3), F.lit("..."))
+        if how == "smart":
+            whole = F.regexp_extract(F.substring(t, 1, most), r"(?s)^(.*[.!?])(?:\s|$)", 1)
+            cut = F.when(whole != "", whole).otherwise(cut)
+    else:
+        raise ValueError(f"unknown truncation: {how}")
+    return F.when(F.length(t) <= most, t).otherwise(cut)
+
+
 def route_answer(t: Column) -> Column:
     """Topic of a prompt by key words, first match wins."""
     low = F.lower(t)
@@ -165,6 +219,19 @@ def valid_table_name(c: Column) -> Column:
     return c.rlike(r"^[\p{L}\p{N}_]+$") & (F.length(c) <= 63)
 
 
+def valid_request(query: Column, k: Column, longest: int = 1000, most: int = 50) -> Column:
+    """A query text of 1 to `longest` characters that isn't blank, and 1 to `most` results."""
+    return F.length(query).between(1, longest) & query.rlike(r"(?U)\S") & k.between(1, most)
+
+
+def map_matches(metadata: Column, wanted: dict[str, str] | None) -> Column:
+    """Each wanted key is there with the wanted value; nothing wanted is always met."""
+    out = F.lit(True)
+    for k, v in (wanted or {}).items():
+        out &= F.coalesce(metadata[k] == F.lit(v), F.lit(False))
+    return out
+
+
 def json_equals(doc: Column, wanted: dict) -> Column:
     """Each key's text equals str(value); a Python bool's text is capitalised and so never equals JSON's."""
     out = F.lit(True)

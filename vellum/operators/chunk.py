@@ -26,18 +26,17 @@ def char_windows(text: str, size: int = 1000, overlap: int = 200) -> list[tuple[
     if that lies, as a place within the window, beyond the absolute middle. Whole text if it fits."""
     if overlap * 2 >= size:
         raise ValueError("overlap must be under half the size")
-    if len(text) <= size:
-        return [(0, text)]
-    out, start = [], 0
-    while start < len(text):
-        end = start + size
-        window = text[start:end]
-        dot = window.rfind(".") if end < len(text) else -1
-        if dot > start + size // 2:
-            end, window = start + dot + 1, window[: dot + 1]
-        out.append((start, window.strip()))
-        start = end - overlap
-    return out
+    n = len(text)
+    starts, ends = [0], []
+    while n > size and starts[-1] < n or not ends:
+        s = starts[-1]
+        length = size
+        if n > s + size:
+            stop = text.rfind(".", s, s + size) - s
+            length = stop + 1 if stop > s + size // 2 else size
+        ends.append(s + length)
+        starts.append(s + length - overlap)
+    return [(0, text)] if n <= size else [(s, text[s:e].strip()) for s, e in zip(starts, ends)]
 
 
 def last_sentence(text: str) -> str:
@@ -81,8 +80,15 @@ def token_windows(text: str, size: int = 500, overlap: int = 50, snap: bool = Tr
 
 
 def sentences(text: str, least: int = 10) -> list[str]:
-    """Pieces between white space after a mark and before a capital; shorter ones are dropped."""
-    return [s for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text)) if len(s) >= least]
+    """Pieces between white space after a mark and before a capital, joined until they end in a mark or
+    hold a paragraph break; those shorter than `least` are dropped."""
+    out, held = [], ""
+    for piece in re.split(r"(?<=[.!?])\s+(?=[A-Z])", text):
+        held = f"{held} {piece.strip()}" if held else piece.strip()
+        if held and (held[-1] in ".!?" or "\n\n" in held):
+            out.append(held)
+            held = ""
+    return [x for x in [*out, held] if len(x) >= least]
 
 
 def sentence_windows(text: str, most: int = 5, words: int = 500, overlap: int = 1) -> list[tuple[int, str]]:
@@ -131,24 +137,27 @@ def code_blocks(text: str) -> list[tuple[int, str]]:
     return [x for x in [*out, (at, text[at:].strip())] if x[1]]
 
 
-def walk(docs: DataFrame, split: Callable[[str], list[tuple[int, str]]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Apply a Python splitter to each text, in Arrow batches. Blank and null texts have no chunks."""
+def walk(docs: DataFrame, split: Callable[..., list[tuple[int, str]]], id_col: str = "doc_id", text_col: str = "text", by: tuple[str, ...] = ()) -> DataFrame:
+    """Apply a Python splitter to each text, in Arrow batches. Blank and null texts have no chunks.
+    Columns in `by` are passed to it after the text and kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
                 rows, no, start, text = [], [], [], []
+                given = [part.column(2 + i).to_pylist() for i in range(len(by))]
                 for i, t in enumerate(part.column(1).to_pylist()):
-                    for k, (s, piece) in enumerate(split(t) if t and t.strip() else []):
+                    for k, (s, piece) in enumerate(split(t, *(g[i] for g in given)) if t and t.strip() else []):
                         rows.append(i)
                         no.append(k)
                         start.append(s)
                         text.append(piece)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(text, pa.string())], ["id", "chunk_id", "start_char", "text"])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(text, pa.string()), *(part.column(2 + i).take(pa.array(rows, pa.int64())) for i in range(len(by)))], ["id", "chunk_id", "start_char", "text", *by])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, chunk_id int, start_char long, text string")
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in by)
+    return docs.select(F.col(id_col).alias("id"), text_col, *by).mapInArrow(run, f"id {kind}, chunk_id int, start_char long, text string{kept}")
 
 
 def fixed_tokens(docs: DataFrame, size: int = 100, overlap: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,21 +181,20 @@ def paragraph_windows(docs: DataFrame, each: int = 3, least: int = 50, overlap:
     return rows.select("id", "chunk_id", F.size(piece).alias("paragraphs"), F.array_join(piece, "\n\n").alias("text"))
 
 
+_HEADER = re.compile(r"(?m)^#{1,6}[ \t\x0b\f\r]+[^\n]+$")
+_BLANK = " \t\n\x0b\f\r"
+
+
+def header_windows(text: str) -> list[tuple[int, str]]:
+    """A section starts at each header line; a preamble stays. Blank sections are dropped."""
+    cuts = sorted({0, *(m.start() for m in _HEADER.finditer(text))})
+    parts = [(s, text[s:e].strip(_BLANK)) for s, e in zip(cuts, [*cuts[1:], len(text)])]
+    return [x for x in parts if x[1]]
+
+
 def header_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_id, start_char, text): a section starts at each header line; a preamble stays. A fold
-    over a document's lines, within its row."""
-    state = "struct<at:int,open:struct<start:int,lines:array<string>>,done:array<struct<start:int,lines:array<string>>>>"
-    fold = F.expr(
-        rf"""aggregate(split({text_col}, '\n'),
-        cast(named_struct('at', 0, 'open', named_struct('start', 0, 'lines', array()), 'done', array()) AS {state}),
-        (s, l) -> if(l rlike '^#{{1,6}}\\s+.+$' AND size(s.open.lines) > 0,
-          named_struct('at', s.at + length(l) + 1, 'open', named_struct('start', s.at, 'lines', array(l)), 'done', concat(s.done, array(s.open))),
-          named_struct('at', s.at + length(l) + 1, 'open', named_struct('start', s.open.start, 'lines', concat(s.open.lines, array(l))), 'done', s.done)),
-        s -> concat(s.done, array(s.open)))"""
-    )
-    trimmed = F.transform(fold, lambda s: F.struct(s["start"].alias("start"), F.regexp_replace(F.array_join(s["lines"], "\n"), r"^\s+|\s+$", "").alias("text")))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.filter(trimmed, lambda s: s["text"] != "").alias("s"))
-    return rows.select("id", F.posexplode("s").alias("chunk_id", "x")).select("id", "chunk_id", F.col("x.start").alias("start_char"), F.col("x.text").alias("text"))
+    """(id, chunk_id, start_char, text) by header_windows()."""
+    return walk(docs, header_windows, id_col, text_col)
 
 
 def adaptive_size(t: Column, most: int = 1000, least: int = 200) -> Column:
@@ -202,31 +210,85 @@ def strategy(t: Column, primary: str = "sentence") -> Column:
     return F.when(T.content_type(t).isin("code", "table", "list") | T.has_headers(t), "structure").when(average > 100, "token").when(F.size(T.paragraphs(t)) < 3, "sentence").otherwise(primary)
 
 
+def adaptive(docs: DataFrame, most: int = 1000, least: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk_id, start_char, text, size): token windows of the size that suits each text, in one walk."""
+    sized = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), adaptive_size(F.col(text_col), most, least).alias("size"))
+    return walk(sized, lambda t, n: token_windows(t, n, n // 10), "id", by=("size",))
+
+
+def semantic(docs: DataFrame, encode: Callable[[list[str]], np.ndarray] | None = None, least: float = 0.7, most: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunk_id, start_char, text): groups of a text's similar sentences, see semantic_groups().
+    `encode` gives a row for each sentence; without one, signed hashed words do."""
+    return walk(docs, lambda t: semantic_groups(t, encode or hashed_words, least, most), id_col, text_col)
+
+
+def hashed_words(texts: list[str], dim: int = 384) -> np.ndarray:
+    """Signed hashed words of each text."""
+    from zlib import crc32
+
+    out = np.zeros((len(texts), dim))
+    for i, t in enumerate(texts):
+        for w in t.lower().split():
+            h = crc32(w.encode())
+            out[i, h % dim] += 1 if h >> 16 & 1 else -1
+    return out
+
+
 def hybrid(docs: DataFrame, tokens: int = 1000, most: int = 5, primary: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, chunk_id, start_char, text, strategy, content_type): each document by its own strategy,
-    short chunks of plain text merged into the one before."""
-    raw = docs.select(F.col(id_col).alias("id"), strategy(F.col(text_col), primary).alias("strategy"), T.content_type(F.col(text_col)).alias("content_type"), T.normalize_space(F.col(text_col)).alias("text"))
-    kinds = raw.drop("text")
-
-    def merged(split):
-        def run(t):
-            out: list[tuple[int, str]] = []
-            for s, x in split(t):
-                if x.strip():
-                    out.append((s, x))
-            return out
-
-        return run
-
-    token = walk(raw.where("strategy = 'token'"), merged(lambda t: token_windows(t, tokens, tokens // 10)), "id")
-    sentence = walk(raw.where("strategy = 'sentence'"), merged(lambda t: sentence_windows(t, most)), "id")
-    structure = raw.where("strategy = 'structure'")
-    code = walk(structure.where("content_type = 'code'"), merged(code_blocks), "id")
-    headed = T.has_headers(F.col("text")) & (F.col("content_type") != "code")
-    headers = header_sections(structure.where(headed), "id").withColumn("start_char", F.col("start_char").cast("long"))
-    whole = structure.where(~headed & (F.col("content_type") != "code")).select("id", F.lit(0).alias("chunk_id"), F.lit(0).cast("long").alias("start_char"), "text")
-    rows = token.unionByName(sentence).unionByName(code).unionByName(headers).unionByName(whole)
-    return merge_short(rows.join(kinds, "id"))
+    """(id, chunk_id, start_char, text, strategy, content_type): each document by its own strategy, in one
+    walk, short chunks of plain text merged into the one before."""
+    t = F.col(text_col)
+    raw = docs.select(F.col(id_col).alias("id"), T.normalize_space(t).alias("text"), strategy(t, primary).alias("strategy"), T.content_type(t).alias("content_type"))
+
+    def split(text: str, how: str, kind: str) -> list[tuple[int, str]]:
+        if how == "token":
+            found = token_windows(text, tokens, tokens // 10)
+        elif how == "sentence":
+            found = sentence_windows(text, most)
+        elif kind == "code":
+            found = code_blocks(text)
+        elif re.search(r"(?m)^#{1,6}\s", text):
+            found = header_windows(text)
+        else:
+            found = [(0, text)]
+        return [x for x in found if x[1].strip()]
+
+    return merge_short(walk(raw, split, "id", by=("strategy", "content_type")))
+
+
+def described(chunks: DataFrame, source: str = "hybrid") -> DataFrame:
+    """Hybrid chunks with the facts of a chunk row: name, end, counts of tokens, words and sentences (none
+    in code), kind and both strategies."""
+    text, code = F.col("text"), F.col("content_type") == "code"
+    count = F.size(F.filter(F.split(text, r"(?<=[.!?])\s+(?=[A-Z])"), lambda x: F.length(F.trim(x)) >= 10))
+    return chunks.select(
+        "id", F.concat(F.lit("chunk_"), F.col("chunk_id").cast("string")).alias("chunk"), "start_char", (F.col("start_char") + F.length(text)).alias("end_char"),
+        F.size(T.tokens(text)).alias("token_count"), F.when(code, 0).otherwise(count).alias("sentence_count"), T.word_count(text).alias("word_count"),
+        F.lit(source).alias("chunk_type"), F.col("strategy").alias("primary_strategy"), F.when(code, "token").otherwise("sentence").alias("secondary_strategy"), "content_type", "text",
+    )
+
+
+def ingest(docs: DataFrame, size: int = 1000, overlap: int = 200, id_col: str = "doc_id", text_col: str = "text", facts: tuple[str, ...] = ()) -> DataFrame:
+    """(chunk, id, chunk_id, start_char, text, facts...): character windows named `<document>_<number>`, each
+    with the document's facts."""
+    found = walk(docs, lambda t, *_: char_windows(t, size, overlap), id_col, text_col, by=facts)
+    return found.select(F.concat_ws("_", F.col("id").cast("string"), F.col("chunk_id").cast("string")).alias("chunk"), *found.columns)
+
+
+def process(docs: DataFrame, chunker: str = "sentence", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, chunks, tokens, avg_chars, status): clean, chunk and measure each document. A null or blank one
+    has status `error`, as has one that gives no chunk; the others go on."""
+    cleaned = docs.select(F.col(id_col).alias("id"), T.clean(F.col(text_col)).alias("text"))
+    chunks = create(chunker)(cleaned, id_col="id", text_col="text")
+    counts = chunks.groupBy("id").agg(F.count("*").alias("chunks"), F.sum(F.size(T.tokens(F.col("text")))).alias("tokens"), F.avg(F.length("text")).alias("avg_chars"))
+    rows = docs.select(F.col(id_col).alias("id")).join(counts, "id", "left")
+    return rows.select("id", F.coalesce("chunks", F.lit(0)).alias("chunks"), F.coalesce("tokens", F.lit(0)).alias("tokens"), "avg_chars", F.when(F.col("chunks").isNull(), "error").otherwise("success").alias("status"))
+
+
+def histograms(chunks: DataFrame) -> DataFrame:
+    """(kind, value, chunks): how many chunks each strategy and each content type has."""
+    both = F.explode(F.array(F.struct(F.lit("strategy").alias("kind"), F.col("strategy").alias("value")), F.struct(F.lit("content_type").alias("kind"), F.col("content_type").alias("value"))))
+    return chunks.select(both.alias("x")).groupBy("x.kind", "x.value").agg(F.count("*").alias("chunks"))
 
 
 def merge_short(chunks: DataFrame, least: int = 50) -> DataFrame:
@@ -241,12 +303,12 @@ def merge_short(chunks: DataFrame, least: int = 50) -> DataFrame:
     return rows.select("id", F.col("island").cast("int").alias("chunk_id"), "start_char", F.array_join(F.transform("parts", lambda p: p["text"]), "\n\n").alias("text"), "strategy", "content_type")
 
 
-CHUNKERS = {"char": char_windows, "token": token_windows, "sentence": sentence_windows, "code": code_blocks}
+CHUNKERS = {"char": char_windows, "token": token_windows, "sentence": sentence_windows, "code": code_blocks, "header": header_windows}
 
 
 def create(name: str, **options) -> Callable[[DataFrame], DataFrame]:
     """A chunker by name; unknown names are an error."""
-    native = {"fixed_token": fixed_tokens, "paragraph": paragraph_windows, "header": header_sections, "hybrid": hybrid}
+    native = {"fixed_token": fixed_tokens, "paragraph": paragraph_windows, "adaptive": adaptive, "semantic": semantic, "hybrid": hybrid}
     if name in native:
         return lambda docs, **cols: native[name](docs, **options, **cols)
     if name in CHUNKERS:
@@ -255,11 +317,13 @@ def create(name: str, **options) -> Callable[[DataFrame], DataFrame]:
 
 
 def statistics(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """Counts and sizes of chunks by `keys`; no chunks give no row."""
+    """Counts and sizes of chunks by `keys`; no chunks give no row. Sentences are estimated as a fifteenth
+    of a chunk's words, 1 at least."""
+    estimate = F.greatest(F.lit(1), F.floor(T.word_count(F.col("text")) / 15))
     tokens, chars = F.size(T.tokens(F.col("text"))), F.length("text")
     return chunks.groupBy(*keys).agg(
         F.count("*").alias("chunks"), F.sum(tokens).alias("tokens"), F.avg(tokens).alias("avg_tokens"), F.min(tokens).alias("min_tokens"), F.max(tokens).alias("max_tokens"),
-        F.avg(chars).alias("avg_chars"), F.sum(chars).alias("chars"), F.stddev_pop(chars).alias("std_chars"), F.median(chars).alias("median_chars"),
+        F.avg(chars).alias("avg_chars"), F.sum(chars).alias("chars"), F.stddev_pop(chars).alias("std_chars"), F.median(chars).alias("median_chars"), F.sum(estimate).alias("sentences"),
     )
 
 
@@ -280,9 +344,10 @@ def quality(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     sentence_count = F.size(F.filter(F.split(text, r"[.!?]+"), lambda x: F.trim(x) != ""))
     lower = F.transform(F.regexp_extract_all(F.lower(text), F.lit(T.WORD), F.lit(0)), lambda x: x)
     distinct = F.size(F.array_distinct(lower))
-    often = F.size(F.filter(F.array_distinct(lower), lambda x: F.size(F.filter(lower, lambda y: x == y)) > 1))
+    again = lambda x, i: (i > 0) & (x == F.get(F.col("sorted"), i - 1))
+    often = F.size(F.array_distinct(F.filter(F.col("sorted"), again)))
     coherence = F.when(sentence_count <= 1, 1.0).when(distinct == 0, 0.5).otherwise(F.least(F.lit(1.0), 0.5 + 0.5 * often / distinct))
-    rows = chunks.withColumn("words", w).withColumn("next_words", F.lead(w).over(by)).withColumn("size", F.length("text")).withColumn("b", boundary).withColumn("c", coherence)
+    rows = chunks.withColumn("words", w).withColumn("sorted", F.array_sort(lower)).withColumn("next_words", F.lead(w).over(by)).withColumn("size", F.length("text")).withColumn("b", boundary).withColumn("c", coherence)
     rows = rows.withColumn("ratio", F.when(nxt.isNotNull(), F.when(reach > 0, shared / reach).otherwise(0.0)))
     per = rows.groupBy("id").agg(
         F.count("*").alias("n"), F.greatest(F.lit(0.0), 1 - F.coalesce(F.try_divide(F.stddev_pop("size"), F.avg("size")), F.lit(0.0))).alias("size_score"),
@@ -294,4 +359,22 @@ def quality(chunks: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
     coverage = F.least(F.when(F.col("len") > 0, F.col("chars") / F.col("len")).otherwise(0.0), F.when(F.size("vocabulary") > 0, F.size(F.array_intersect("seen", "vocabulary")) / F.size("vocabulary")).otherwise(0.0))
     overlap = F.when(F.coalesce("overlap", F.lit(0.0)) > 0.8, 0.7).when((F.coalesce("overlap", F.lit(0.0)) < 0.2) & (F.col("n") > 1), 0.6).otherwise(1.0)
     out = both.select("id", "size_score", coverage.alias("coverage_score"), overlap.alias("overlap_score"), "boundary_score", "coherence_score")
-    return out.withColumn("overall", 0.2 * F.col("size_score") + 0.3 * F.col("coverage_score") + 0.2 * F.col("overlap_score") + 0.2 * F.col("boundary_score") + 0.1 * F.col("coherence_score"))
+    return out.withColumn("overall", overall())
+
+
+# The weight of each measure in the overall score.
+WEIGHTS = {"size_score": 0.2, "coverage_score": 0.3, "overlap_score": 0.2, "boundary_score": 0.2, "coherence_score": 0.1}
+
+
+def overall(weights: dict[str, float] = WEIGHTS) -> Column:
+    """Weighted mean of the measures that are there (not null); 0 if none is."""
+    there = sum(F.when(F.col(c).isNotNull(), w).otherwise(0.0) for c, w in weights.items())
+    total = sum(F.coalesce(F.col(c) * w, F.lit(0.0)) for c, w in weights.items())
+    return F.when(there > 0, total / there).otherwise(0.0)
+
+
+def report(scores: DataFrame) -> DataFrame:
+    """(id, report): each measure with its verdict, and the overall score with its grade, as text."""
+    names = {"size_score": "size", "coverage_score": "coverage", "overlap_score": "overlap", "boundary_score": "boundary", "coherence_score": "coherence", "overall": "overall"}
+    lines = [F.concat(F.lit(f"{m}: "), F.format_string("%.3f", c), F.lit(" - "), T.verdict(F.col(c), m)) for c, m in names.items()]
+    return scores.select("id", F.concat_ws("\n", *lines, F.concat(F.lit("grade: "), T.grade(F.col("overall")))).alias("report"))

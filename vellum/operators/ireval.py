@@ -10,21 +10,22 @@ KS = (1, 3, 5, 10, 20)
 
 
 def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
-    """(query_id, k, precision, recall, f1, ap, rr, ndcg, hit) of each query of `run` that `qrels` knows.
+    """(query_id, k, precision, recall, f1, ap, rr, ndcg, hit) of each query that `qrels` knows.
 
     run: (query_id, rank, id); qrels: (query_id, id). Precision divides by the results returned within
     k; average precision and reciprocal rank look at the whole list; gains are binary. A query known
-    without relevant ids (a null id) has zeros.
+    without relevant ids (a null id), or without any row in `run`, has zeros; one that `qrels` doesn't
+    know is left out.
     """
     known = qrels.groupBy("query_id").agg(F.count_distinct("id").alias("relevant"))
     marks = qrels.where("id is not null").select("query_id", "id").distinct().withColumn("rel", F.lit(1))
-    rows = run.join(known, "query_id").join(marks, ["query_id", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    rows = known.join(run, "query_id", "left").join(marks, ["query_id", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
     hits = F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("hits", hits)
     cut = []
     for k in ks:
         top = F.col("rank") <= k
-        got, listed = F.sum(F.when(top, F.col("rel")).otherwise(0)), F.sum(top.cast("int"))
+        got, listed = F.sum(F.when(top, F.col("rel")).otherwise(0)), F.count_if(top)
         dcg = F.sum(F.when(top, F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(0.0))
         cut.append(F.struct(F.lit(k).alias("k"), got.alias("got"), listed.alias("listed"), dcg.alias("dcg")))
     folded = rows.groupBy("query_id", "relevant").agg(
@@ -51,6 +52,28 @@ def macro(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> DataFra
     return wanted.join(each, "k", "left").fillna(0.0)
 
 
+def single(run: DataFrame, qrels: DataFrame, query_id, ks: tuple[int, ...] = KS) -> DataFrame:
+    """per_query() of one query; a query that `qrels` doesn't know is an error."""
+    if qrels.where(F.col("query_id") == F.lit(query_id)).isEmpty():
+        raise ValueError(f"unknown query: {query_id}")
+    mine = F.col("query_id") == F.lit(query_id)
+    return per_query(run.where(mine), qrels.where(mine), ks)
+
+
+def summary(macros: DataFrame) -> DataFrame:
+    """The report table of macro(): K and each measure as text with four decimals."""
+    names = {"precision": "Precision", "recall": "Recall", "f1": "F1", "map": "MAP", "mrr": "MRR", "ndcg": "NDCG", "hit_rate": "Hit Rate"}
+    return macros.select(F.col("k").alias("K"), *[F.format_string("%.4f", c).alias(n) for c, n in names.items()])
+
+
+def best_k(macros: DataFrame) -> DataFrame:
+    """The k with the best F1 (the smallest of equals), and how precision changes from the least k to the largest."""
+    best = F.max_by("k", F.struct("f1", -F.col("k")))
+    change = F.max_by("precision", "k") - F.min_by("precision", "k")
+    out = macros.agg(best.alias("best_k"), F.max("f1").alias("best_f1"), change.alias("change"))
+    return out.withColumn("trend", F.when(F.col("change") > 0, "improving").when(F.col("change") < 0, "declining").otherwise("stable"))
+
+
 def latency(times: DataFrame, column: str) -> DataFrame:
     """Mean and median of positive times, their total, and all results per second of it."""
     t = F.when(F.col(column) > 0, F.col(column))

@@ -50,11 +50,15 @@ LIBRARY = {
 }
 
 
-def context(passages: DataFrame) -> DataFrame:
-    """(query_id, rank, content) -> (query_id, context): numbered documents, blank lines between."""
+def context(passages: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, content) -> (query_id, context): numbered documents, blank lines between. Given
+    `queries`, those without a passage have a row that says so."""
     parts = F.array_sort(F.collect_list(F.struct("rank", "content")))
     text = F.array_join(F.transform(parts, lambda x, i: F.concat(F.lit("Document "), (i + 1).cast("string"), F.lit(": "), x["content"])), "\n\n")
-    return passages.where("content is not null").groupBy("query_id").agg(F.coalesce(F.nullif(text, F.lit("")), F.lit(NO_CONTEXT)).alias("context"))
+    found = passages.where("content is not null").groupBy("query_id").agg(F.coalesce(F.nullif(text, F.lit("")), F.lit(NO_CONTEXT)).alias("context"))
+    if queries is None:
+        return found
+    return queries.select("query_id").distinct().join(found, "query_id", "left").withColumn("context", F.coalesce("context", F.lit(NO_CONTEXT)))
 
 
 def budgeted_context(passages: DataFrame, budget: int = 2000) -> DataFrame:
@@ -82,6 +86,54 @@ def answer(queries: DataFrame, passages: DataFrame, most: int = 2000) -> DataFra
     return rows.select("query_id", text.alias("answer"), F.coalesce("n", F.lit(0)).alias("documents"), F.when(F.col("n").isNull(), "no_documents_found").otherwise("success").alias("status"))
 
 
+def run(queries: DataFrame, passages: DataFrame, template: str = "basic_qa", budget: int | None = None, generate=None) -> DataFrame:
+    """Retrieved passages to answers: (query_id, question, prompt, answer, documents, context_length, status).
+
+    queries: (query_id, text); passages: (query_id, rank, content). The context, all of it or within
+    `budget` characters, and the question fill the template. `generate`, a function Column -> Column of
+    the prompt, answers; without one the topic by key words does (route_answer). A query without passages
+    has the fixed apology and status no_documents_found; one whose answer is null, as a generator gives
+    where it fails, has status error.
+    """
+    from vellum.functions import text as T
+
+    built = budgeted_context(passages, budget) if budget else context(passages)
+    counts = passages.groupBy("query_id").agg(F.count("*").alias("documents"))
+    rows = queries.join(built, "query_id", "left").join(counts, "query_id", "left")
+    prompt = LIBRARY[template].column(context=F.col("context"), question=F.col("text"))
+    answered = rows.withColumn("prompt", prompt).withColumn("answer", (generate or T.route_answer)(F.col("prompt")))
+    none, failed = F.col("documents").isNull(), F.col("answer").isNull()
+    return answered.select(
+        "query_id", F.col("text").alias("question"), "prompt",
+        F.when(none, F.lit(APOLOGY)).when(failed, F.lit("The question could not be processed.")).otherwise(F.col("answer")).alias("answer"),
+        F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce(F.length("context"), F.lit(0)).alias("context_length"),
+        F.when(none, "no_documents_found").when(failed, "error").otherwise("success").alias("status"),
+    )
+
+
+def top_answer(queries: DataFrame, passages: DataFrame) -> DataFrame:
+    """(query_id, answer): the best passage, or that there is none."""
+    best = passages.groupBy("query_id").agg(F.min_by("content", "rank").alias("content"))
+    text = F.when(F.col("content").isNull(), "No relevant document found.").otherwise(F.concat(F.lit("Relevant info: "), F.col("content")))
+    return queries.join(best, "query_id", "left").select("query_id", text.alias("answer"))
+
+
+def recent(history: DataFrame, n: int = 10, order: str = "seq") -> DataFrame:
+    """The last n entries of a history, newest first."""
+    return history.orderBy(F.desc(order)).limit(n)
+
+
+def last_turns(turns: DataFrame, n: int = 6) -> DataFrame:
+    """(conv_id, turn, role, text): the last n turns of each conversation."""
+    by = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    return turns.withColumn("back", F.row_number().over(by)).where(F.col("back") <= n).drop("back")
+
+
+def append_history(answers: DataFrame, path: str) -> None:
+    """Add answered queries to a history as JSON lines."""
+    answers.write.mode("append").json(path)
+
+
 def pipeline_stats(history: DataFrame) -> DataFrame:
     """Totals of a query history (status, processing_time); zeros when it is empty."""
     good = F.count_if(F.col("status") == "success")

@@ -86,6 +86,55 @@ def outcomes(df: DataFrame, ok: Column) -> DataFrame:
     return df.agg(good.alias("succeeded"), (F.count("*") - good).alias("failed"), F.when(F.count("*") > 0, F.bround(100 * good / F.count("*"), 2)).otherwise(0.0).alias("success_rate"))
 
 
+def checked(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """`df` with `error`: the name of the first check that doesn't hold, or null."""
+    out = F.lit(None).cast("string")
+    for name, ok in reversed(checks.items()):
+        out = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(out)
+    return df.withColumn("error", out)
+
+
+def batch(df: DataFrame, checks: dict[str, Column], least: int = 1, most: int = 1000) -> DataFrame:
+    """Outcomes of a batch whose rows number `least` to `most`; any other number is an error."""
+    n = df.limit(most + 1).count()
+    if not least <= n <= most:
+        raise ValueError(f"a batch has {least} to {most} rows")
+    return outcomes(checked(df, checks), F.col("error").isNull())
+
+
+def profile(df: DataFrame) -> DataFrame:
+    """Rows, columns and nulls of a table."""
+    nulls = sum((F.count_if(F.col(c).isNull()) for c in df.columns), F.lit(0))
+    return df.agg(F.count("*").alias("rows"), F.lit(len(df.columns)).alias("columns"), nulls.alias("nulls"))
+
+
+def sampled_collection(df: DataFrame, order: str, text: str, json: str | None = None, vector: str | None = None, n: int = 10) -> DataFrame:
+    """Of the first n rows: mean length to two places, and the metadata keys or the dimension there."""
+    few = df.orderBy(order).limit(n)
+    cols = [F.count("*").alias("sampled"), F.round(F.coalesce(F.avg(F.length(text)), F.lit(0.0)), 2).alias("avg_length")]
+    cols += [F.max(F.size(vector)).alias("dimension")] if vector else []
+    cols += [F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.json_object_keys(json))))).alias("keys")] if json else []
+    return few.agg(*cols)
+
+
+def column_best(df: DataFrame, label: str, columns: list[str]) -> DataFrame:
+    """(metric, best, value): for each column the label of its largest value (the smallest label of equals)."""
+    long = df.unpivot([label], columns, "metric", "value")
+    return long.groupBy("metric").agg(F.min_by(label, F.struct(-F.col("value"), F.col(label))).alias("best"), F.max("value").alias("value"))
+
+
+def rank_strategies(scores: DataFrame) -> DataFrame:
+    """(strategy, seq, metric, value) -> with rank in each metric, largest first, ties in the order of seq."""
+    by = Window.partitionBy("metric").orderBy(F.desc("value"), "seq")
+    return scores.withColumn("rank", F.row_number().over(by))
+
+
+def recommendation(scores: DataFrame, overall: str = "overall") -> DataFrame:
+    """The strategy ranked first by the overall metric, and why."""
+    best = rank_strategies(scores.where(F.col("metric") == overall)).where("rank = 1")
+    return best.select(F.col("strategy").alias("best_strategy"), F.format_string("Highest overall score: %.3f", "value").alias("reason"))
+
+
 def histogram(df: DataFrame, labels: list[str], value: str, bounds: list[float]) -> DataFrame:
     """Request counters by labels, with cumulative buckets, a sum and a count."""
     return df.groupBy(*labels).agg(*[F.count_if(F.col(value) <= b).alias(f"le_{str(b).replace('.', '_')}") for b in bounds], F.sum(value).alias("sum"), F.count(value).alias("count"))

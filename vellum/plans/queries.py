@@ -78,10 +78,10 @@ def _(s, d):
     return r6(search.top_k(e, first(e), 10, "negative_inner"), "score")
 
 
-@query("vec_threshold_search", top_sql(COS, "DESC", 10_000_000, "q.vec_id = 0", f"{COS} >= 0.1"))
+@query("vec_threshold_search", f"WITH {VEC} SELECT q.vec_id AS query_id, c.vec_id AS id, round({COS}, 6) + 0.0 AS score FROM v q JOIN v c ON q.vec_id = 0 AND {COS} >= 0.1")
 def _(s, d):
     e = embeddings(s, d)
-    return r6(search.top_k(e, first(e), 10_000_000, threshold=0.1), "score")
+    return r6(search.within(e, first(e), 0.1), "score")
 
 
 @query("vec_distance_threshold", top_sql(f"1 - {COS}", "ASC", 5, "q.vec_id = 0", f"1 - {COS} < 1.0"))
@@ -96,16 +96,16 @@ def _(s, d):
     return r6(search.top_k(e, first(e), 5, where=F.col("label") == 3), "score")
 
 
-@query("vec_batch_topk", top_sql(DIST, "ASC", 10, "q.vec_id < 100"))
+@query("vec_batch_topk", top_sql(DIST, "ASC", 10, "q.vec_id % 20 = 0"))
 def _(s, d):
     e = embeddings(s, d)
-    return r6(search.top_k(e, e.where("id < 100"), 10, "l2"), "score")
+    return r6(search.top_k(e, sampled(e), 10, "l2"), "score")
 
 
-@query("vec_neighbors_excl_self", top_sql(f"1 - {COS}", "ASC", 5, "q.vec_id < 20", "c.vec_id <> q.vec_id"))
+@query("vec_neighbors_excl_self", top_sql(f"1 - {COS}", "ASC", 5, "q.vec_id % 20 = 0", "c.vec_id <> q.vec_id"))
 def _(s, d):
     e = embeddings(s, d)
-    return r6(search.top_k(e, e.where("id < 20"), 5, "cosine_distance", exclude_self=True), "score")
+    return r6(search.top_k(e, sampled(e), 5, "cosine_distance", exclude_self=True), "score")
 
 
 for _metric, _expr in (("inverse_l2", f"1 / (1 + {DIST})"), ("inverse_squared_l2", f"1 / (1 + {DIST} ** 2)")):
@@ -126,14 +126,12 @@ def _(s, d):
 
 @query("vec_best_pair", f"{PAIRS} SELECT i, j, round(score, 6) + 0.0 AS score FROM p ORDER BY p.score DESC, i, j LIMIT 1")
 def _(s, d):
-    p = search.pairs(embeddings(s, d))
-    best = p.agg(F.max_by(F.struct("i", "j", "score"), F.struct("score", -F.col("i"), -F.col("j"))).alias("b"))
-    return r6(best.select("b.*"), "score")
+    return r6(search.top_pairs(embeddings(s, d), 1, ties="low"), "score")
 
 
 @query("vec_euclid_sim_scaled", f"{PAIRS} SELECT i, j, round(1 - dist / (SELECT max(dist) FROM p), 6) + 0.0 AS score FROM p ORDER BY dist, i, j LIMIT 20")
 def _(s, d):
-    return r6(search.scaled_euclidean(embeddings(s, d)).orderBy(F.desc("score"), "i", "j").limit(20), "score")
+    return r6(search.scaled_euclidean(embeddings(s, d), 20), "score")
 
 
 @query("vec_norm_stats", f"WITH {VEC}, n AS (SELECT sqrt(list_inner_product(v, v)) AS n FROM v) SELECT round(avg(n), 6) AS mean_norm, round(stddev_pop(n), 6) + 0.0 AS std_norm, round(min(n), 6) AS min_norm, round(max(n), 6) AS max_norm FROM n")
@@ -151,10 +149,10 @@ def _(s, d):
     return r6(stats.mean_vector(embeddings(s, d)), "mean", "std", "min", "max")
 
 
-@query("vec_normalized", f"WITH {VEC} SELECT vec_id AS id, round(list_sum(list_transform(v, lambda x: x / sqrt(list_inner_product(v, v)))), 6) + 0.0 AS total FROM v")
+@query("vec_normalized", f"WITH {VEC} SELECT vec_id AS id, unnest(range(1, len(v) + 1))::INTEGER AS place, round(unnest(v) / sqrt(list_inner_product(v, v)), 6) + 0.0 AS x FROM v")
 def _(s, d):
-    e = embeddings(s, d).select("id", F.aggregate(V.unit(F.col("v")), F.lit(0.0), lambda a, x: a + x).alias("total"))
-    return r6(e, "total")
+    e = embeddings(s, d).select("id", F.posexplode(V.unit(F.col("v"))).alias("place", "x"))
+    return r6(e.withColumn("place", F.col("place") + 1), "x")
 
 
 @query("vec_memory", "SELECT sum(length(t.text))::BIGINT AS text_bytes, sum(len(e.embedding) * 4)::BIGINT AS vector_bytes, sum(len(e.embedding) * 4 + 128)::BIGINT AS graph_bytes FROM documents t JOIN embeddings e ON t.doc_id = e.vec_id")
@@ -165,14 +163,14 @@ def _(s, d):
 
 def self_retrieval(s, d, k: int = 20):
     e = embeddings(s, d)
-    q = e.where("id < 100")
+    q = sampled(e)
     run = search.top_k(e, q, k, exclude_self=True)
     qrels = q.select(F.col("id").alias("query_id"), "label").join(e.select("id", "label"), "label").where("id <> query_id").select("query_id", "id")
     return run, qrels
 
 
 IR = f"""WITH {VEC},
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {COS} AS score, (q.label = c.label)::INTEGER AS rel FROM v q JOIN v c ON q.vec_id < 100 AND q.vec_id <> c.vec_id),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS id, {COS} AS score, (q.label = c.label)::INTEGER AS rel FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
 n AS (SELECT query_id, sum(rel) AS relevant FROM s GROUP BY query_id HAVING sum(rel) > 0),
 t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 20),
 h AS (SELECT *, sum(rel) OVER (PARTITION BY query_id ORDER BY rank) AS hits FROM t),
@@ -206,10 +204,10 @@ def _(s, d):
     return r6(search.InvertedFile(e).search(sampled(e), 10, exclude_self=True), "score")
 
 
-@query("ann_ivf_all_cells", top_sql(DIST, "ASC", 10, "q.vec_id < 100", "q.vec_id <> c.vec_id"))
+@query("ann_ivf_all_cells", top_sql(DIST, "ASC", 10, "q.vec_id % 20 = 0", "q.vec_id <> c.vec_id"))
 def _(s, d):
     e = embeddings(s, d)
-    return r6(search.InvertedFile(e, 8).search(e.where("id < 100"), 10, 8, exclude_self=True), "score")
+    return r6(search.InvertedFile(e, 8).search(sampled(e), 10, 8, exclude_self=True), "score")
 
 
 @query("ann_lsh_topk")
@@ -250,7 +248,7 @@ def _clean_sql() -> str:
 
 @query("text_clean", f"SELECT doc_id, md5({_clean_sql()}) AS hash FROM documents")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.md5(T.clean(F.col("text"))).alias("hash"))
+    return table(s, d, "documents").select("doc_id", F.md5(T.clean(F.col("text"), unicode_form=False)).alias("hash"))
 
 
 @query("text_lang_guess", f"SELECT doc_id, CASE WHEN len(list_intersect(list_distinct(regexp_extract_all(lower(substr(text, 1, 1000)), '[\\p{{L}}\\p{{N}}_]+')), {T.ENGLISH})) >= 3 THEN 'en' ELSE 'unknown' END AS language FROM documents")
@@ -283,21 +281,21 @@ def _(s, d):
 
 @query("text_nfkc")
 def _(s, d):
-    return table(s, d, "documents").select("doc_id", F.md5(T.clean(F.col("text"), unicode_form=True)).alias("hash"))
+    return table(s, d, "documents").select("doc_id", F.md5(T.clean(F.col("text"))).alias("hash"))
 
 
-@query("chunk_char_window", """WITH RECURSIVE w AS (
-  SELECT doc_id, text, 0 AS k, 0 AS start, CASE WHEN length(text) <= 1000 THEN length(text) ELSE 1000 END AS lim FROM documents WHERE trim(text, chr(10) || chr(32) || chr(9) || chr(13)) <> ''
-), step AS (
-  SELECT doc_id, text, 0 AS k, 0::BIGINT AS start FROM w
+WINDOW_LENGTH = "CASE WHEN start + 1000 < length(text) AND instr(reverse(substr(text, start + 1, 1000)), '.') > 0 AND 1000 - instr(reverse(substr(text, start + 1, 1000)), '.') > start + 500 THEN 1001 - instr(reverse(substr(text, start + 1, 1000)), '.') ELSE 1000 END"
+WINDOWS = f"""WITH RECURSIVE step AS (
+  SELECT doc_id, text, 0 AS k, 0::BIGINT AS start FROM documents WHERE regexp_matches(text, '\\S')
   UNION ALL
-  SELECT doc_id, text, k + 1, start + (CASE WHEN start + 1000 < length(text) AND 1000 - instr(reverse(substr(text, start + 1, 1000)), '.') > start + 500 AND instr(reverse(substr(text, start + 1, 1000)), '.') > 0
-      THEN 1000 - instr(reverse(substr(text, start + 1, 1000)), '.') + 1 ELSE 1000 END) - 200
-  FROM step WHERE length(text) > 1000 AND start + (CASE WHEN start + 1000 < length(text) AND 1000 - instr(reverse(substr(text, start + 1, 1000)), '.') > start + 500 AND instr(reverse(substr(text, start + 1, 1000)), '.') > 0
-      THEN 1000 - instr(reverse(substr(text, start + 1, 1000)), '.') + 1 ELSE 1000 END) - 200 < length(text))
-SELECT doc_id AS id, k::INTEGER AS chunk_id, start AS start_char FROM step""")
+  SELECT doc_id, text, k + 1, start + {WINDOW_LENGTH} - 200 FROM step WHERE length(text) > 1000 AND start + {WINDOW_LENGTH} - 200 < length(text)),
+w AS (SELECT doc_id AS id, k::INTEGER AS chunk_id, start AS start_char, CASE WHEN length(text) <= 1000 THEN text ELSE regexp_replace(substr(text, start + 1, {WINDOW_LENGTH}), '^\\s+|\\s+$', '', 'g') END AS text FROM step)
+"""
+
+
+@query("chunk_char_window", WINDOWS + "SELECT id, chunk_id, start_char, md5(text) AS hash FROM w")
 def _(s, d):
-    return chunk.walk(table(s, d, "documents"), chunk.char_windows).select("id", "chunk_id", "start_char")
+    return chunk.walk(table(s, d, "documents"), chunk.char_windows).select("id", "chunk_id", "start_char", F.md5("text").alias("hash"))
 
 
 @query("chunk_token_fixed", r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]') AS w FROM documents),
@@ -331,9 +329,7 @@ for _name, _split in (("chunk_token_sentence", chunk.token_windows), ("chunk_sen
 
 @query("chunk_adaptive")
 def _(s, d):
-    sized = table(s, d, "documents").select("doc_id", "text", chunk.adaptive_size(F.col("text")).alias("size"))
-    parts = [chunk.walk(sized.where(F.col("size") == n), lambda t, n=n: chunk.token_windows(t, n, n // 10)) for n in (700, 850, 1000)]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return chunk.adaptive(table(s, d, "documents")).drop("size")
 
 
 @query("chunk_hybrid")
@@ -344,7 +340,7 @@ def _(s, d):
 @query("chunk_stats", r"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]') AS w FROM documents),
 g AS (SELECT doc_id, w[pos + 1:pos + 100] AS w, array_to_string(w[pos + 1:pos + 100], ' ') AS text FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 20), 80)) AS pos FROM t WHERE len(w) > 0))
 SELECT doc_id AS id, count(*) AS chunks, sum(len(w))::BIGINT AS tokens, round(avg(len(w)), 6) AS avg_tokens, min(len(w))::INTEGER AS min_tokens, max(len(w))::INTEGER AS max_tokens,
-  round(avg(length(text)), 6) AS avg_chars, sum(length(text))::BIGINT AS chars, round(stddev_pop(length(text)), 6) + 0.0 AS std_chars, round(median(length(text)), 6) AS median_chars FROM g GROUP BY doc_id""")
+  round(avg(length(text)), 6) AS avg_chars, sum(length(text))::BIGINT AS chars, round(stddev_pop(length(text)), 6) + 0.0 AS std_chars, round(median(length(text)), 6) AS median_chars, sum(greatest(1, len(list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '')) // 15))::BIGINT AS sentences FROM g GROUP BY doc_id""")
 def _(s, d):
     return r6(chunk.statistics(chunk.fixed_tokens(table(s, d, "documents")), ["id"]), "avg_tokens", "avg_chars", "std_chars", "median_chars")
 
@@ -368,9 +364,9 @@ def _(s, d):
 @query("rag_budget_context", """WITH b AS (SELECT conv_id, turn, text, row_number() OVER w AS n, 'Document ' || row_number() OVER w || ':' || chr(10) || text || chr(10) || chr(10) AS block FROM conversations WHERE text IS NOT NULL WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 u AS (SELECT *, coalesce(sum(length(block)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM b),
 o AS (SELECT *, sum((used + length(block) > 500)::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) AS over FROM u)
-SELECT conv_id AS query_id, length(string_agg(CASE WHEN over = 0 THEN block WHEN over = 1 AND used + length(block) > 500 AND 450 - used > 0 THEN 'Document ' || n || ':' || chr(10) || substr(text, 1, (450 - used)::BIGINT) || '...' || chr(10) || chr(10) ELSE '' END, '' ORDER BY turn))::INTEGER AS chars FROM o GROUP BY conv_id""")
+SELECT conv_id AS query_id, md5(string_agg(CASE WHEN over = 0 THEN block WHEN over = 1 AND used + length(block) > 500 AND 450 - used > 0 THEN 'Document ' || n || ':' || chr(10) || substr(text, 1, (450 - used)::BIGINT) || '...' || chr(10) || chr(10) ELSE '' END, '' ORDER BY turn)) AS hash FROM o GROUP BY conv_id""")
 def _(s, d):
-    return rag.budgeted_context(passages(s, d), 500).select("query_id", F.length("context").alias("chars"))
+    return rag.budgeted_context(passages(s, d), 500).select("query_id", F.md5("context").alias("hash"))
 
 
 @query("rag_answer", f"""WITH a AS (SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS t, count(*) AS n FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
@@ -521,7 +517,7 @@ def _(s, d):
     return r6(rag.pipeline_stats(e), "avg_time", "success_rate")
 
 
-@query("mon_error_rate", "WITH w AS (SELECT time_bucket(INTERVAL 1 MINUTE, ts) - to_minutes(m) AS start, event_type FROM events, range(0, 5) g(m)) SELECT start, count(*) FILTER (event_type = 'error') AS errors, count(*) AS total, round(count(*) FILTER (event_type = 'error') / 300, 6) AS rate FROM w GROUP BY start")
+@query("mon_error_rate", "WITH w AS (SELECT time_bucket(INTERVAL 15 SECOND, ts) - to_seconds(15 * m) AS start, event_type FROM events, range(0, 20) g(m)) SELECT start, count(*) FILTER (event_type = 'error') AS errors, count(*) AS total, round(count(*) FILTER (event_type = 'error') / 300, 6) AS rate FROM w GROUP BY start")
 def _(s, d):
     return r6(monitor.error_rate(table(s, d, "events")), "rate")
 
@@ -546,16 +542,22 @@ def _(s, d):
     return search.cluster_sweep(embeddings(s, d).where(V.complete(F.col("v"))).select("id", "v"))
 
 
-@query("source_csv_text")
+@query("source_csv_text", "SELECT doc_id, md5('Headers: name, said' || chr(10) || chr(10) || source || ' | ' || text) AS hash FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
 def _(s, d):
+    """Each document as a CSV file of a header and a row whose quoted field holds the text."""
     from vellum.sources.readers import csv_text
 
-    return table(s, d, "documents").select("doc_id", F.md5(csv_text(F.col("text"))).alias("hash"))
+    docs = table(s, d, "documents").where("text is not null and source is not null")
+    made = F.concat(F.lit("name,said\n"), "source", F.lit(',"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    return docs.select("doc_id", F.md5(csv_text(made)).alias("hash"))
 
 
 def queries() -> dict:
+    from vellum.plans import extra  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
+    queries()
     return dict(SQL)

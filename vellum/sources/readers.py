@@ -80,13 +80,104 @@ def pretty_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-def csv_text(t):
-    """A CSV text for reading: header names, the first 100 rows, and a line that says there are more."""
-    lines = F.filter(F.split(t, r"\r?\n"), lambda x: x != "")
-    header = F.concat(F.lit("Headers: "), F.array_join(F.split(F.element_at(lines, 1), ","), ", "))
-    rows = F.transform(F.slice(lines, 2, 100), lambda x: F.array_join(F.split(x, ","), " | "))
-    more = F.when(F.size(lines) > 101, F.array(F.lit("... and 100 more rows"))).otherwise(F.array().cast("array<string>"))
-    return F.when(F.size(lines) > 0, F.array_join(F.concat(F.array(header, F.lit("")), rows, more), "\n")).otherwise("")
+@F.pandas_udf(StringType())
+def csv_text(texts: pd.Series) -> pd.Series:
+    """A CSV text, quoted fields and all, for reading: header names, the first 100 rows, and a line that
+    says there are more. A text without rows is empty; one that doesn't parse is an ERROR text."""
+    import csv
+    import io
+    import itertools
+
+    csv.field_size_limit(1 << 31)
+
+    def one(t):
+        if t is None:
+            return None
+        try:
+            rows = (r for r in csv.reader(io.StringIO(t)) if r)
+            head = next(rows, None)
+            if head is None:
+                return ""
+            shown = [" | ".join(r) for r in itertools.islice(rows, 100)]
+            more = ["... and 100 more rows"] if next(rows, None) is not None else []
+            return "\n".join(["Headers: " + ", ".join(head), "", *shown, *more])
+        except csv.Error as e:
+            return f"ERROR: {e}"
+
+    return texts.map(one)
+
+
+def fetch_all(urls: DataFrame, fetch, at_once: int = 10, per_host: int = 5, timeout: float = 30.0, shown: int = 200) -> DataFrame:
+    """(url, ...) rows -> (seq, url, content, error) in the order of `seq`, a column of `urls`.
+
+    fetch(url, timeout) gives a text. Each task asks for `at_once` pages together, `per_host` of them of one
+    host; content beyond `shown` characters ends in "...". Whatever a fetch raises becomes its row's error.
+    """
+
+    def run(batches):
+        import threading
+        from concurrent.futures import ThreadPoolExecutor
+        from urllib.parse import urlsplit
+
+        hosts: dict[str, threading.Semaphore] = {}
+
+        def one(url):
+            try:
+                with hosts.setdefault(urlsplit(url).netloc, threading.Semaphore(per_host)):
+                    text = fetch(url, timeout)
+                return (text[:shown] + "..." if len(text) > shown else text), None
+            except Exception as e:  # noqa: BLE001  a row for each failure is what the source is for
+                return None, f"{type(e).__name__}: {e}"
+
+        with ThreadPoolExecutor(at_once) as pool:
+            for b in batches:
+                got = list(pool.map(one, b["url"]))
+                yield pd.DataFrame({"seq": b["seq"], "url": b["url"], "content": [g[0] for g in got], "error": [g[1] for g in got]})
+
+    return urls.select(F.col("seq").cast("long"), "url").mapInPandas(run, "seq long, url string, content string, error string").orderBy("seq")
+
+
+def file_facts(files: DataFrame) -> DataFrame:
+    """Of documents(): name, suffix, size, time, whether its format is supported and its text readable."""
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "suffix", "size", "modified", "supported", (~F.startswith("text", F.lit("ERROR: "))).alias("readable"))
+
+
+def clustered_vectors(spark: SparkSession, n: int, dim: int, clusters: int = 10, seed: int = 42) -> DataFrame:
+    """(id, label, v): members 0.5 * N(0, 1) around centres 2 * N(0, 1), the same for a seed."""
+    noise = F.array(*[F.randn(seed + 1 + i) for i in range(dim)])
+    centre = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in _normal(clusters, dim, seed)])
+    rows = spark.range(n).withColumn("label", (F.col("id") % clusters).cast("int"))
+    return rows.select("id", "label", F.zip_with(F.get(centre, F.col("label")), noise, lambda c, x: 2 * c + 0.5 * x).alias("v"))
+
+
+def unit_vectors(spark: SparkSession, n: int = 100, dim: int = 384, seed: int = 42) -> DataFrame:
+    """(id, v): random directions, the same for a seed."""
+    return spark.range(n).withColumn("x", F.array(*[F.randn(seed + i) for i in range(dim)])).select("id", V.unit(F.col("x")).alias("v"))
+
+
+def _normal(rows: int, dim: int, seed: int):
+    import numpy as np
+
+    return np.random.default_rng(seed).normal(size=(rows, dim))
+
+
+#: Two small benchmarks: (topic, what a document says, what a query asks).
+SETS = {
+    "passages": [(t, f"{t.capitalize()} {v}.", f"what {q}") for t, v, q in (
+        ("photosynthesis", "turns light into sugar in leaves", "turns light into sugar"), ("evaporation", "lifts water from sea to air", "lifts water into the air"),
+        ("erosion", "wears mountains down to sand", "wears mountains down"), ("magnetism", "turns a compass to the north", "turns a compass"),
+        ("gravity", "keeps planets on their paths", "keeps planets on their paths"), ("fermentation", "makes bread rise and wine strong", "makes bread rise"),
+        ("combustion", "needs fuel, air and heat", "needs fuel and air"), ("refraction", "bends light at a surface", "bends light"))],
+    "topics": [(t, f"Reports on {t} and {v}.", f"reports on {v}") for t, v in (("harbours", "shipping"), ("orchards", "fruit"), ("railways", "freight"), ("glaciers", "ice"), ("markets", "prices"))],
+}
+
+
+def benchmark_set(spark: SparkSession, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A built-in benchmark as documents, queries and (query_id, id) pairs; each query has one relevant document."""
+    rows = [(f"{name}_d{i}", f"{name}_q{i}", t, d, q) for i, (t, d, q) in enumerate(SETS[name], 1)]
+    docs = spark.createDataFrame([(d, text, t) for d, _, t, text, _ in rows], "id string, content string, topic string")
+    queries = spark.createDataFrame([(q, text) for _, q, _, _, text in rows], "id string, text string")
+    return docs, queries, spark.createDataFrame([(q, d) for d, q, *_ in rows], "query_id string, id string")
 
 
 BENCHMARK = "documents array<struct<id:string,content:string,metadata:map<string,string>>>, queries array<struct<id:string,text:string,relevant_docs:array<string>,metadata:map<string,string>>>"
@@ -105,13 +196,14 @@ def benchmark(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return docs, queries.drop("relevant_docs"), queries.select(F.col("id").alias("query_id"), F.explode_outer(F.array_distinct("relevant_docs")).alias("id"))
 
 
-def sql(spark: SparkSession, text: str, **args) -> DataFrame:
-    return spark.sql(text, args=args)
+def sql(spark: SparkSession, text: str, tables: dict[str, DataFrame] | None = None, **args) -> DataFrame:
+    """A parameterised query: {name} stands for a table given, :name for a value, which is never part of the text."""
+    return spark.sql(text, args=args or None, **(tables or {}))
 
 
 def hashing_encoder(dim: int = 384):
     """A Pandas UDF text -> array<float>: signed hashed words, normalised. Stands where no model is at hand;
-    any function of the same type can take its place."""
+    any function of the same type can take its place, see encoder_udf()."""
     import zlib
 
     import numpy as np
@@ -129,3 +221,23 @@ def hashing_encoder(dim: int = 384):
         return texts.map(one)
 
     return encode
+
+
+def encoder_udf(encode, dim: int, batch: int = 32):
+    """A Pandas UDF text -> array<float> around encode(list of texts) -> matrix, `batch` texts at a time. A
+    batch that fails gives zero vectors, as do null and empty texts in it."""
+    import numpy as np
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for at in range(0, len(texts), batch):
+            part = texts.iloc[at : at + batch].tolist()
+            try:
+                got = np.asarray(encode([t or "" for t in part]), np.float32).reshape(len(part), dim)
+            except Exception:  # noqa: BLE001  the contract: zero vectors, not a failed job
+                got = np.zeros((len(part), dim), np.float32)
+            out += [v if t else np.zeros(dim, np.float32) for t, v in zip(part, got)]
+        return pd.Series(out, index=texts.index, dtype=object)
+
+    return run

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def error_rate(events: DataFrame, minutes: int = 5, step: str = "1 minute", watermark: str | None = None) -> DataFrame:
+def error_rate(events: DataFrame, minutes: int = 5, step: str = "15 seconds", watermark: str | None = None) -> DataFrame:
     """(start, errors, total, rate): errors a second over sliding windows."""
     rows = events.withWatermark("ts", watermark) if watermark else events
     w = F.window("ts", f"{minutes} minutes", step)
@@ -28,12 +28,17 @@ def counters(events: DataFrame, watermark: str | None = None) -> DataFrame:
     return rows.groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-def held(windows: DataFrame, value: str, above: float, times: int) -> DataFrame:
-    """(from, to, windows): runs of at least `times` neighbouring windows above a threshold."""
-    by = Window.orderBy("start")
-    rows = windows.withColumn("over", F.col(value) > above).withColumn("n", F.row_number().over(by))
-    runs = rows.where("over").withColumn("run", F.col("n") - F.row_number().over(by))
-    return runs.groupBy("run").agg(F.min("start").alias("from"), F.max("start").alias("to"), F.count("*").alias("windows")).where(F.col("windows") >= times).drop("run")
+def held(windows: DataFrame, value: str, above: float, times: int, step: float, by: list[str] | None = None) -> DataFrame:
+    """(by..., from, to, windows): runs of at least `times` neighbouring windows above a threshold.
+
+    Neighbours start `step` seconds apart. Runs are found for each of `by`; a label's windows over the
+    threshold meet in one task, of the others none.
+    """
+    over = windows.where(F.col(value) > above)
+    own = Window.partitionBy(*by or [F.lit(0)]).orderBy("start")
+    place = F.round(F.unix_micros(F.col("start").cast("timestamp")) / (step * 1_000_000)).cast("long")
+    runs = over.withColumn("run", place - F.row_number().over(own))
+    return runs.groupBy(*by or [], "run").agg(F.min("start").alias("from"), F.max("start").alias("to"), F.count("*").alias("windows")).where(F.col("windows") >= times).drop("run")
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:
