@@ -6,8 +6,9 @@ are cut into `blocks` bit blocks: two that differ in at most `radius` bits agree
 `blocks - radius` whole blocks, so each fingerprint goes to one shard per choice, keyed by its bits
 there. A shard's BK-tree has children keyed by the integer Hamming distance to their parent, and a
 search follows only the edges within `radius` of its own distance. A key with more than
-SHARD_ROWS fingerprints is dealt to several shard trees and its fingerprints visit each of them.
-A shard emits only links that join two of its components, so output is linear in its size.
+SHARD_ROWS fingerprints is dealt to several shard trees: each fingerprint meets its own, and then
+those outside the key's largest component so far visit the others. A shard emits only links that
+join two components, so output, and the work on a connected group, is linear in its size.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, table
 from .components import connected_components
+from .shards import group_links, whole_groups
 
 SEED = 42
 SHARD_ROWS = 2048
@@ -111,28 +113,26 @@ class BKTree:
             node = node[2][d]
 
 
-def shard_links(home: list[int], visitors: list[int], radius: int) -> list[tuple[int, int]]:
-    """Links that span the components among `home` and tie each visitor to those it is near."""
-    tree, parent, out = BKTree(radius), list(range(len(home))), []
+def shard_links(home: list[int], visitors: list[int], roots: list[int], radius: int) -> list[tuple[int, int]]:
+    """Links that span the components among `home`, and tie each visitor to those it is near. `roots`
+    names the component that each of home + visitors is known to be in; those need no link."""
+    tree, out = BKTree(radius), []
+    names: dict[int, int] = {}
+    parent = [names.setdefault(r, i) for i, r in enumerate(roots)]
 
     def find(i: int) -> int:
         while parent[i] != i:
             parent[i] = i = parent[parent[i]]
         return i
 
-    for i, fp in enumerate(home):
+    for i, fp in enumerate(home + visitors):
         for node in tree.search(fp):
             a, b = find(i), find(node[1])
             if a != b:
                 parent[a] = b
                 out.append((fp, node[0]))
-        tree.insert(fp, i)
-    for fp in visitors:
-        met = set()
-        for node in tree.search(fp):
-            if (c := find(node[1])) not in met:
-                met.add(c)
-                out.append((fp, node[0]))
+        if i < len(home):
+            tree.insert(fp, i)
     return out
 
 
@@ -152,54 +152,24 @@ def default_blocks(n: int, radius: int) -> int:
     return 2 * radius + 1
 
 
-def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
-    """Lists of whole groups of two rows or more, each a (columns, rows) array of longs.
-
-    Rows are sorted by their first `keys` columns, in which a group agrees.
-    """
-    kept: list[np.ndarray] = []
-    for b in itertools.chain(batches, [None]):
-        if b is not None:
-            kept.append(np.stack([b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(b.num_columns)]))
-            if b.num_rows == 0:
-                continue
-        if not kept:
-            return
-        rows = np.concatenate(kept, axis=1)
-        cut = np.flatnonzero(np.any(rows[:keys, 1:] != rows[:keys, :-1], axis=0)) + 1
-        bounds = np.concatenate([[0], cut, [rows.shape[1]]])
-        if b is not None:  # the last group may go on in the next batch
-            kept, bounds = [rows[:, bounds[-2] :]], bounds[:-1]
-        yield [rows[:, bounds[i] : bounds[i + 1]] for i in np.flatnonzero(np.diff(bounds) > 1)]
-
-
 def links(fps: DataFrame, radius: int = 4, blocks: int | None = None) -> DataFrame:
     """Distinct fingerprints (fp) -> (a, b) links whose components are those of all pairs in reach."""
     blocks = blocks or default_blocks(fps.count(), radius)
     routed = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(radius, blocks)])).alias("c", "v"))
-    hot = materialize(routed.groupBy("c", "v").count().where(F.col("count") > SHARD_ROWS), "hot-shards")
-    if hot.isEmpty():
-        dealt = routed.select("c", "v", F.lit(0).alias("shard"), F.lit(True).alias("home"), "fp")
-    else:
-        own = F.pmod(F.xxhash64("fp"), F.col("n")).cast("int")
-        dealt = (
-            routed.join(hot.select("c", "v", F.ceil(F.col("count") / SHARD_ROWS).alias("n")), ["c", "v"], "left")
-            .withColumn("own", F.coalesce(own, F.lit(0)))
-            .select("c", "v", "own", "fp", F.explode(F.sequence("own", F.coalesce(F.col("n").cast("int"), F.lit(1)) - 1)).alias("shard"))
-            .select("c", "v", "shard", (F.col("own") == F.col("shard")).alias("home"), "fp")
-        )
+    members = routed.select(F.xxhash64("c", "v").alias("key"), F.col("fp").alias("node"))  # keys that collide share trees, which lose nothing
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shards in groups(batches, 3):
+        for t, bounds in whole_groups(batches, CHUNK):
+            home, node, root = (t.column(i).to_numpy() for i in (2, 3, 4))
             out: list[tuple[int, int]] = []
-            for part in shards:
-                fp, home = part[4].view(np.uint64), part[3] == 1
-                out += shard_links(fp[home].tolist(), fp[~home].tolist(), radius)
+            for start, end in zip(bounds[:-1], bounds[1:]):
+                if end - start > 1:
+                    at, fp, own = home[start:end] == 1, node[start:end].view(np.uint64), root[start:end]
+                    out += shard_links(fp[at].tolist(), fp[~at].tolist(), [*own[at].tolist(), *own[~at].tolist()], radius)
             pair = np.array(sorted(set(out)), np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
-    grouped = dealt.repartition("c", "v", "shard").sortWithinPartitions("c", "v", "shard")
-    return grouped.mapInArrow(run, "a long, b long").distinct()
+    return group_links(members, F.ceil(F.count("*") / SHARD_ROWS), lambda rows: rows.select("key", "shard", "home", "node", "root"), run)
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4, blocks: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
