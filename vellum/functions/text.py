@@ -30,10 +30,18 @@ def nfkc(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x))
 
 
+def only_where(t: Column, test, change) -> Column:
+    """change(t) where test(t) holds, else t; `t` is evaluated once, whatever it is made of."""
+    return F.get(F.transform(F.array(t), lambda x: F.when(test(x), change(x)).otherwise(x)), F.lit(0))
+
+
 def fix_mojibake(t: Column) -> Column:
-    for bad, good in MOJIBAKE.items():
-        t = F.replace(t, F.lit(bad), F.lit(good))
-    return t
+    def change(x: Column) -> Column:
+        for bad, good in MOJIBAKE.items():
+            x = F.replace(x, F.lit(bad), F.lit(good))
+        return x
+
+    return only_where(t, lambda x: x.rlike("[" + "".join(sorted({k[0] for k in MOJIBAKE})) + "]"), change)
 
 
 def normalize_space(t: Column, keep_structure: bool = True) -> Column:
@@ -54,9 +62,13 @@ def fix_common(t: Column) -> Column:
     t = F.regexp_replace(t, r"\.{3,}", "...")
     t = F.regexp_replace(t, r"(?U)\s+([,.!?;:])", "$1")
     t = F.regexp_replace(t, r"([.!?])([A-Z])", "$1 $2")
-    for short, long in CONTRACTIONS:
-        t = F.replace(t, F.lit(short), F.lit(long))
-    return t
+
+    def expand(x: Column) -> Column:
+        for short, long in CONTRACTIONS:
+            x = F.replace(x, F.lit(short), F.lit(long))
+        return x
+
+    return only_where(t, lambda x: F.contains(x, F.lit("'")), expand)
 
 
 def clean(t: Column, keep_structure: bool = True, special: bool = False, unicode_form: bool = True, compat: bool = False) -> Column:
