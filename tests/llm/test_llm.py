@@ -450,6 +450,9 @@ def test_neighbours_over_many_blocks(spark, monkeypatch):
         return hit / 300
 
     assert recall() >= 0.9
+    got = {(g["query_id"], g["rank"]): g["score"] for g in ann.neighbours(df.withColumn("embedding", F.col("embedding").cast("array<float>")), F.col("id") == 0, 3).collect()}
+    single = x.astype(np.float32).astype(np.float64)
+    assert [got[0, 1], got[0, 2], got[0, 3]] == pytest.approx(sorted(np.sqrt(((single - single[0]) ** 2).sum(1)))[1:4], rel=1e-12)
     assert recall(curves=1, window=0.01) < 0.9  # so the test can fail
 
 

@@ -44,6 +44,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int =
     """
     spark = vectors.sparkSession
     rows, dim = usable(vectors, id_col, vec_col, False)
+    kind = rows.schema["v"].dataType.simpleString()  # floats travel as floats; all arithmetic is in doubles
+    dtype, arrow = (np.float32, pa.float32()) if kind == "array<float>" else (np.float64, pa.float64())
     ways = directions(dim, curves, dims)
     mean = [F.avg(F.col("v")[i]) for i in range(dim)]
     spread = [F.stddev_pop(F.col("v")[i]) for i in range(dim)]
@@ -61,10 +63,10 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int =
                 at = hilbert_key(grid.astype(np.int64), bits)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int64)), pa.array(at), b.column(0), b.column(1)], ["run", "key", "id", "v"])
 
-    keyed = rows.mapInArrow(key, "run long, key long, id long, v array<double>")
+    keyed = rows.mapInArrow(key, f"run long, key long, id long, v {kind}")
     ordered = keyed.repartitionByRange("run", "key", "id").sortWithinPartitions("run", "key", "id")
     with small_batches(spark):
-        blocks = materialize(pack(ordered.withColumn("at", F.col("key").cast("double")), dim, BLOCK), "curve-blocks")
+        blocks = materialize(pack(ordered.withColumn("at", F.col("key").cast("double")), dim, BLOCK, dtype), "curve-blocks")
         counts = blocks.groupBy("run", "part").agg(F.sum("n").alias("n")).collect()  # a row for each partition
         start, before = {}, {}
         for r in sorted(counts, key=lambda r: (r["run"], r["part"])):
@@ -84,11 +86,11 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int =
             """The rows of blocks, with their positions."""
             for b in batches:
                 for r in b.to_pylist():
-                    ids, x = unpack(r["ids"], r["data"], dim)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["run"], np.int64)), pa.array(r["start"] + np.arange(len(ids))), pa.array(ids), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), dim).cast(pa.list_(pa.float64()))], ["run", "at", "id", "v"])
+                    ids, x = unpack(r["ids"], r["data"], dim, dtype)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), r["run"], np.int64)), pa.array(r["start"] + np.arange(len(ids))), pa.array(ids), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel().astype(dtype)), dim).cast(pa.list_(arrow))], ["run", "at", "id", "v"])
 
-        asked = placed.select("run", "start", "ids", "data").mapInArrow(pick, "run long, at long, id long, v array<double>").where(is_query)
-        asked = pack(asked.repartitionByRange("run", "at").sortWithinPartitions("run", "at"), dim, QUERY_BLOCK)
+        asked = placed.select("run", "start", "ids", "data").mapInArrow(pick, f"run long, at long, id long, v {kind}").where(is_query)
+        asked = pack(asked.repartitionByRange("run", "at").sortWithinPartitions("run", "at"), dim, QUERY_BLOCK, dtype)
         asked = materialize(asked.withColumn("extra", F.lit(None).cast("binary")), "curve-queries")
         near = asked.select(F.col("part").alias("qpart"), F.col("no").alias("qno"), "run", F.col("first").alias("a"), F.col("last").alias("z"))
         pairs = near.join(shape, "run").where((F.col("start") <= F.col("z") + reach) & (F.col("start") + F.col("n") > F.col("a") - reach))
@@ -99,8 +101,8 @@ def neighbours(vectors: DataFrame, is_query: Column, k: int = 10, curves: int =
                 self.best = {}
 
             def add(self, r):
-                qids, q = unpack(r["qids"], r["qdata"], dim)
-                ids, x = unpack(r["ids"], r["data"], dim)
+                qids, q = unpack(r["qids"], r["qdata"], dim, dtype)
+                ids, x = unpack(r["ids"], r["data"], dim, dtype)
                 # A query block spans few positions, so its window is taken from its first to its last query.
                 best = self.best.setdefault((r["qpart"], r["qno"]), Best(qids, k, np.full(len(qids), -np.inf)))
                 square = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * (q @ x.T)

@@ -43,7 +43,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0
     best score. Scores are exact up to 2**53. An empty table gives an empty table.
     """
     rows, dim = usable(vectors, id_col, vec_col, True)
-    rows = rows.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"))
+    rows = rows.select("id", F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
     n, top = rows.agg(F.count("*"), F.max(norm)).first()
     n, top = n or 0, top or 0.0

@@ -27,13 +27,14 @@ def small_batches(spark: SparkSession):
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, zero_ok: bool) -> tuple[DataFrame, int]:
-    """(id, v array<double>) of the vectors that take part, and their dimension.
+    """(id, v) of the vectors that take part, floats as floats and other numbers as doubles, and their dimension.
 
     Null ids, null vectors and those holding null or non-finite components are left out, as are
     all-zero ones unless `zero_ok`. The dimension is the one most rows have (the smaller of equals);
     vectors of another length can't be compared and are left out too.
     """
-    v = F.col(vec_col).cast("array<double>")
+    single = vectors.schema[vec_col].dataType.simpleString() == "array<float>"
+    v = F.col(vec_col) if single else F.col(vec_col).cast("array<double>")
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & ~bad)
     if not zero_ok:
@@ -51,9 +52,9 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
 PACKED = "part int, no int, run long, first double, last double, n int, ids binary, data binary"
 
 
-def pack(rows: DataFrame, dim: int, size: int) -> DataFrame:
+def pack(rows: DataFrame, dim: int, size: int, dtype=np.float64) -> DataFrame:
     """(run, at, id, v), sorted within partitions by run and at -> blocks of up to `size` rows of one
-    run: partition, number within it, run, first and last `at`, rows, and their ids and vectors."""
+    run: partition, number within it, run, first and last `at`, rows, and their ids and vectors, these as `dtype`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -61,7 +62,7 @@ def pack(rows: DataFrame, dim: int, size: int) -> DataFrame:
         part, no, kept = TaskContext.get().partitionId(), 0, None
 
         def block(r, at, ids, v):
-            return (part, no, int(r), float(at[0]), float(at[-1]), len(ids), ids.tobytes(), v.tobytes())
+            return (part, no, int(r), float(at[0]), float(at[-1]), len(ids), ids.tobytes(), v.astype(dtype).tobytes())
 
         def emit(out):
             cols = list(zip(*out))
@@ -90,8 +91,8 @@ def pack(rows: DataFrame, dim: int, size: int) -> DataFrame:
     return rows.select(F.col("run").cast("long"), F.col("at").cast("double"), "id", "v").mapInArrow(run, PACKED)
 
 
-def unpack(ids: bytes, data: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, np.int64), np.frombuffer(data, np.float64).reshape(-1, dim)
+def unpack(ids: bytes, data: bytes, dim: int, dtype=np.float64) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(ids, np.int64), np.frombuffer(data, dtype).reshape(-1, dim).astype(np.float64, copy=False)
 
 
 def by_id(value: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
