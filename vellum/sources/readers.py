@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType
 
 from vellum.functions import vector as V
+from vellum.sources import office
 
 TEXT_SUFFIXES = ("txt", "md", "rst", "py", "js", "html", "xml")
 OTHER_SUFFIXES = ("json", "csv", "docx", "pdf")
@@ -55,12 +56,17 @@ def export(df: DataFrame, path: str, fmt: str, vector: str = "embedding") -> Non
 
 def documents(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """(path, suffix, size, modified, supported, text): files of a folder. A file that can't be read as
-    what its suffix says has `ERROR: ...` for a text."""
+    what its suffix says has `ERROR: ...` for a text, as has a PDF where pypdf isn't installed. Spark's file
+    sources skip files without a byte: they have no row."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     rows = files.select("path", suffix.alias("suffix"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     plain = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
-    text = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), plain).when(F.col("suffix") == "json", pretty_json(plain)).when(F.col("suffix") == "csv", csv_text(plain)).when(F.col("suffix") == "docx", F.lit("ERROR: no reader for docx")).when(F.col("suffix") == "pdf", F.lit("ERROR: no reader for pdf")).otherwise(F.concat(F.lit("ERROR: unsupported format ."), F.col("suffix")))
+    of = lambda name, c: F.when(F.col("suffix") == name, c)  # noqa: E731  a reader sees its own files only
+    text = F.when(F.col("suffix").isin(*TEXT_SUFFIXES), plain)
+    for name, read, raw in (("json", pretty_json, plain), ("csv", csv_text, plain), ("docx", office.reader(office.docx_text), F.col("content")), ("pdf", office.reader(office.pdf_text), F.col("content"))):
+        text = text.when(F.col("suffix") == name, read(of(name, raw)))
+    text = text.otherwise(F.concat(F.lit("ERROR: unsupported format ."), F.col("suffix")))
     return rows.select("path", "suffix", "size", "modified", F.col("suffix").isin(*TEXT_SUFFIXES, *OTHER_SUFFIXES).alias("supported"), text.alias("text"))
 
 
