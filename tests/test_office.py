@@ -26,13 +26,18 @@ def test_docx_and_pdf_files(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "b.docx", "w") as z:
         z.writestr("other.xml", "<x/>")
     (tmp_path / "c.docx").write_bytes(b"no zip")
-    (tmp_path / "f.docx").write_bytes(b"")
+    for name in ("f.docx", "g 1.txt", "h%.csv", "_i.txt"):
+        (tmp_path / name).write_bytes(b"")
     (tmp_path / "d.pdf").write_bytes(b"no pdf")
     (tmp_path / "e.json").write_text("[1]")
-    got = {r["path"][-6:]: r["text"] for r in readers.documents(spark, str(tmp_path)).collect()}
+    rows = readers.documents(spark, str(tmp_path)).collect()
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in rows}
+    assert len(rows) == len(got) == 8
     assert got["a.docx"] == "First \thalf\nSecond é"
-    assert all(got[f].startswith("ERROR: ") for f in ("b.docx", "c.docx", "/d.pdf"))
-    assert "f.docx" not in got
+    assert all(got[f].startswith("ERROR: ") for f in ("b.docx", "c.docx", "d.pdf", "f.docx"))
+    assert got["g 1.txt"] == got["h%.csv"] == ""
+    assert {r["path"].rsplit("/", 1)[1] for r in rows if r["size"] == 0} == {"f.docx", "g 1.txt", "h%.csv"}
+    assert readers.documents(spark, str(tmp_path), "*.txt").count() == 1
     assert got["e.json"] == "[\n  1\n]"
     assert readers.documents(spark, str(tmp_path), "*.none").count() == 0
 

@@ -57,8 +57,9 @@ def export(df: DataFrame, path: str, fmt: str, vector: str = "embedding") -> Non
 def documents(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """(path, suffix, size, modified, supported, text): files of a folder. A file that can't be read as
     what its suffix says has `ERROR: ...` for a text, as has a PDF where pypdf isn't installed. Spark's file
-    sources skip files without a byte: they have no row."""
+    sources skip files without a byte; these come from the listing, with a null for the time."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(path)
+    files = files.unionByName(_empty_files(spark, files))
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     rows = files.select("path", suffix.alias("suffix"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
     plain = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
@@ -70,6 +71,16 @@ def documents(spark: SparkSession, path: str, pattern: str = "*", recursive: boo
     return rows.select("path", "suffix", "size", "modified", F.col("suffix").isin(*TEXT_SUFFIXES, *OTHER_SUFFIXES).alias("supported"), text.alias("text"))
 
 
+def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """The files that a binaryFile source lists and doesn't read, in its columns. The listing is in the
+    driver's file index already; only paths meet here, never contents."""
+    from urllib.parse import unquote
+
+    listed = [(unquote("file:/" + p[8:] if p.startswith("file:///") else p),) for p in files.inputFiles()]
+    absent = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    return absent.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit(b"").alias("content"))
+
+
 @F.pandas_udf(StringType())
 def pretty_json(texts: pd.Series) -> pd.Series:
     """JSON printed with two spaces; what doesn't parse is an ERROR text."""
