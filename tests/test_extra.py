@@ -279,3 +279,25 @@ def test_benchmark_sets_and_vectors(spark):
     docs, queries, pairs = readers.benchmark_set(spark, "topics")
     assert (docs.count(), queries.count(), pairs.count()) == (5, 5, 5)
     assert sorted(map(tuple, readers.unit_vectors(spark, 5, 3).collect())) == sorted(map(tuple, readers.unit_vectors(spark, 5, 3).collect()))
+
+
+def test_index_searches_in_blocks(spark, monkeypatch):
+    """Queries in several passes, equal vectors, repeated ids, far values: the rows are those of all pairs, and no query is joined."""
+    monkeypatch.setattr(blocks, "QUERY_ELEMENTS", 60)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 7)
+    monkeypatch.setattr(search, "small", lambda *_: pytest.fail("queries are joined"))
+    r = np.random.default_rng(5)
+    x = r.normal(size=(300, 4)).astype(np.float32).astype(float)
+    x[40:90] = x[3]
+    x[100], x[101] = 1e200, -1e-200
+    ids = np.arange(300)
+    ids[250] = 20
+    df = spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)] + [(900, None), (920, [float("nan")] * 4)], "id long, v array<double>")
+    q = df.where("id % 20 = 0")
+    want = []
+    with np.errstate(over="ignore"):
+        for name in sorted(set(ids[ids % 20 == 0])):
+            near = [(np.sqrt(((x[i] - x[j]) ** 2).sum()), int(ids[j])) for i in np.flatnonzero(ids == name) for j in range(300) if ids[j] != name]
+            want += [(int(name), rank + 1, j, pytest.approx(d, abs=1e-12)) for rank, (d, j) in enumerate(sorted(near)[:6])]
+    key = lambda rows: sorted(tuple(r) for r in rows)
+    assert key(search.InvertedFile(df.where("id <> 100"), 5).search(q.where("id <> 100"), 6, 5, exclude_self=True).collect()) == [w for w in want if w[0] != 100]
