@@ -301,3 +301,6 @@ def test_index_searches_in_blocks(spark, monkeypatch):
             want += [(int(name), rank + 1, j, pytest.approx(d, abs=1e-12)) for rank, (d, j) in enumerate(sorted(near)[:6])]
     key = lambda rows: sorted(tuple(r) for r in rows)
     assert key(search.InvertedFile(df.where("id <> 100"), 5).search(q.where("id <> 100"), 6, 5, exclude_self=True).collect()) == [w for w in want if w[0] != 100]
+    # One plane's two buckets in many tables leave nobody alone.
+    assert key(search.hyperplane_search(df, q, 6, 4, planes=1, tables=60).collect()) == want
+    assert search.hyperplane_search(df.limit(0), q, 6, 4).count() == 0 == search.hyperplane_search(df, q.limit(0), 6, 4).count()
