@@ -118,6 +118,27 @@ def test_similar_pairs_and_groups(spark, monkeypatch, key_rows, set_rows, few, c
     assert got == similar_groups(range(len(texts)), texts, 5, 0.8)
 
 
+def test_simhash_makes_candidates(spark, monkeypatch):
+    """Without any key, what fingerprints join is still found; fingerprints alone link nothing."""
+    monkeypatch.setattr(similar, "first_shingles", lambda shingles, crowd, similarity: shingles[:0])
+    r = random.Random(12)
+    texts = []
+    for k in range(12):
+        w = [f"w{k}x{r.randrange(10**6)}" for _ in range(400)]
+        texts += [" ".join(w), " ".join(w[:200] + ["other"] + w[201:]), " ".join(w)]
+    texts.append(" ".join(texts[0].split()[:100]))  # shares words, but isn't alike
+    fps = [simhash.majority(similar.shingle_set(t.encode(), 5)) for t in texts]
+    near = [k for k in range(12) if (fps[3 * k] ^ fps[3 * k + 1]).bit_count() <= similar.RADIUS]
+    assert len(near) > 5
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["id"]: r["component"] for r in similar.similar_documents(df).collect()}
+    assert got == {i: 3 * (i // 3) if i < 36 and (i % 3 != 1 or i // 3 in near) else i for i in range(len(texts))}
+    monkeypatch.setattr(similar, "RADIUS", 64)
+    monkeypatch.setattr(similar, "fingerprint_groups", lambda named: named.select("node", F.lit(0).cast("long").alias("root")))
+    got = {r["id"]: r["component"] for r in similar.similar_documents(df).collect()}
+    assert got == {i: 3 * (i // 3) if i < 36 else i for i in range(len(texts))}
+
+
 def around(seed, size, changes, n_words=120):
     """Texts that each change `changes` words of one base: their similarity depends on the number."""
     r = random.Random(seed)
