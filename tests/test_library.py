@@ -79,6 +79,16 @@ def test_silhouette_in_blocks(spark):
         assert search.silhouette(points, rows).first()[0] == pytest.approx(np.mean(want))
 
 
+def test_silhouette_copies_no_vector(spark, monkeypatch):
+    """Blocks are broadcast: no table of copies is shuffled. Equal points are at distance 0."""
+    monkeypatch.setattr(F, "explode", lambda *_: pytest.fail("points are copied"))
+    x = [[0.1, 0.7]] * 6 + [[3.3, 0.2]] * 5 + [[9.0, 9.0]]
+    cell = [0] * 6 + [1] * 5 + [2]
+    points = spark.createDataFrame([(i, c, v) for i, (c, v) in enumerate(zip(cell, x))], "id long, cell int, v array<double>")
+    for rows in (4, 1024):
+        assert search.silhouette(points, rows).first()[0] == pytest.approx(11 / 12, abs=1e-6)
+
+
 def test_cluster_members_are_the_whole_table(spark, monkeypatch):
     from vellum.plans import queries as plans
 
