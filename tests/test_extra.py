@@ -304,3 +304,18 @@ def test_index_searches_in_blocks(spark, monkeypatch):
     # One plane's two buckets in many tables leave nobody alone.
     assert key(search.hyperplane_search(df, q, 6, 4, planes=1, tables=60).collect()) == want
     assert search.hyperplane_search(df.limit(0), q, 6, 4).count() == 0 == search.hyperplane_search(df, q.limit(0), 6, 4).count()
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "cosine_distance", "negative_inner"])
+def test_matrix_in_blocks(spark, monkeypatch, metric):
+    """Several passes and batches give every ordered pair once; nothing is joined."""
+    monkeypatch.setattr(blocks, "QUERY_ELEMENTS", 30)
+    monkeypatch.setattr(blocks, "OUT_ROWS", 20)
+    x = np.random.default_rng(8).normal(size=(25, 3))
+    x[4] = 0
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(99, None)], "id int, v array<double>")
+    want = {(r["query_id"], r["id"]): pytest.approx(r["score"], abs=1e-12) for r in search.scored(df, df, metric).collect()}
+    monkeypatch.setattr(search, "scored", lambda *_: pytest.fail("pairs are joined"))
+    got = search.matrix(df, metric).collect()
+    assert len(got) == 625 and {(r["i"], r["j"]): r["score"] for r in got} == want
+    assert search.matrix(df, metric).schema["i"].dataType.typeName() == "integer"
