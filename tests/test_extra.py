@@ -319,3 +319,14 @@ def test_matrix_in_blocks(spark, monkeypatch, metric):
     got = search.matrix(df, metric).collect()
     assert len(got) == 625 and {(r["i"], r["j"]): r["score"] for r in got} == want
     assert search.matrix(df, metric).schema["i"].dataType.typeName() == "integer"
+
+
+def test_matrix_rows_come_in_blocks(spark, monkeypatch):
+    """No row of the matrix runs past a block of ids, so ids come back soon and compress; every pair is there once."""
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 4)
+    x = np.random.default_rng(9).normal(size=(25, 3))
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>").coalesce(1)
+    got = [(r["i"], r["j"]) for r in search.matrix(df).collect()]
+    assert len(got) == 625 == len(set(got))
+    starts = [0, *(p for p in range(1, 625) if got[p][0] != got[p - 1][0]), 625]
+    assert max(np.diff(starts)) <= 4
