@@ -330,3 +330,40 @@ def test_matrix_rows_come_in_blocks(spark, monkeypatch):
     assert len(got) == 625 == len(set(got))
     starts = [0, *(p for p in range(1, 625) if got[p][0] != got[p - 1][0]), 625]
     assert max(np.diff(starts)) <= 4
+
+
+def test_labelled_queries_are_measured_without_pairs(spark):
+    """Labels give the measures of all relevant pairs; many rows of few labels make no row for each pair."""
+    labels = [(1, "a"), (2, "a"), (3, "b"), (4, "a"), (5, None), (6, "c"), (7, "b"), (7, "a"), (8, "b")]
+    rows = spark.createDataFrame(labels, "id long, label string")
+    run = spark.createDataFrame([(q, k + 1, (q + 3 * k) % 8 + 1) for q in (1, 3, 5, 6, 7) for k in range(3)], "query_id long, rank int, id long")
+    asked = rows.where("id in (1, 3, 5, 6, 7, 8)")
+    qrels = asked.select(F.col("id").alias("query_id"), "label").join(rows, "label").where("id <> query_id").select("query_id", "id")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    got = ireval.per_labelled_query(run, asked, rows, (1, 3))
+    assert key(got) == key(ireval.per_query(run, qrels, (1, 3))) and {r["query_id"] for r in got.collect()} == {1, 3, 7, 8}
+    assert key(ireval.averaged(got, (1, 3))) == key(ireval.macro(run, qrels, (1, 3)))
+    # 2.5e9 pairs, were they made.
+    many = spark.range(100_000).select("id", (F.col("id") % 2).alias("label"))
+    far = ireval.per_labelled_query(run, many.where("id % 2 = 0"), many, (3,)).agg(F.count("*"), F.max("recall")).first()
+    assert far[0] == 50_000 and far[1] == 1 / 49_999
+
+
+def test_top_k_asks_in_passes(spark, monkeypatch):
+    """More queries than are broadcast together are not joined; equal vectors, an early best and ties keep their order."""
+    monkeypatch.setattr(blocks, "QUERY_ELEMENTS", 40)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 7)
+    monkeypatch.setattr(search, "scored", lambda *_: pytest.fail("queries are joined"))
+    x = np.random.default_rng(12).normal(size=(300, 4)).astype(np.float32).astype(float)
+    x[40:90] = x[3]
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = sorted(tuple(g)[:3] for g in search.top_k(df, df.where("id % 5 = 0"), 6, "l2", exclude_self=True, ties="high").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for q in range(0, 300, 5):
+        near = sorted((np.square(x[q] - x[i]).sum(), -i) for i in range(300) if i != q)[:6]
+        want += [(q, rank + 1, -i) for rank, (_, i) in enumerate(near)]
+    assert got == want

@@ -19,7 +19,26 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> Dat
     """
     known = qrels.groupBy("query_id").agg(F.count_distinct("id").alias("relevant"))
     marks = qrels.where("id is not null").select("query_id", "id").distinct().withColumn("rel", F.lit(1))
-    rows = known.join(run, "query_id", "left").join(marks, ["query_id", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    return measured(known.join(run, "query_id", "left").join(marks, ["query_id", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0))), ks)
+
+
+def per_labelled_query(run: DataFrame, queries: DataFrame, rows: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """per_query() where the relevant ids are the others that share a label with the query, without making those pairs.
+
+    queries, rows: (id, label), the queries being some of the rows. An id may repeat with several labels. A query
+    that shares its labels with no other id, or has none, is left out, as it would be of such pairs.
+    """
+    kinds = lambda df: df.where("label is not null").groupBy("id").agg(F.array_sort(F.collect_set("label")).alias("labels"))
+    own, asked = kinds(rows), kinds(queries).select(F.col("id").alias("query_id"), F.col("labels").alias("asked"))
+    sizes = own.groupBy("labels").agg(F.count("*").alias("n")).withColumn("label", F.explode("labels"))
+    shared = asked.select("asked").distinct().withColumn("label", F.explode("asked")).join(sizes, "label").select("asked", "labels", "n").distinct()
+    known = asked.join(shared.groupBy("asked").agg((F.sum("n") - 1).alias("relevant")), "asked").where("relevant > 0")
+    listed = known.join(run, "query_id", "left").join(own, "id", "left")
+    return measured(listed.withColumn("rel", F.coalesce(F.arrays_overlap("asked", "labels"), F.lit(False)).cast("int")), ks)
+
+
+def measured(rows: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """What per_query() returns, of (query_id, relevant, rank, rel): a row for each result, rank null where there is none."""
     hits = F.sum("rel").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("hits", hits)
     cut = []
@@ -46,8 +65,13 @@ def per_query(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> Dat
 
 def macro(run: DataFrame, qrels: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
     """(k, precision, recall, f1, map, mrr, ndcg, hit_rate): means over queries, zeros for an empty run."""
-    spark = run.sparkSession
-    each = per_query(run, qrels, ks).groupBy("k").agg(*[F.avg(a).alias(b) for a, b in (("precision", "precision"), ("recall", "recall"), ("f1", "f1"), ("ap", "map"), ("rr", "mrr"), ("ndcg", "ndcg"), ("hit", "hit_rate"))])
+    return averaged(per_query(run, qrels, ks), ks)
+
+
+def averaged(queries: DataFrame, ks: tuple[int, ...] = KS) -> DataFrame:
+    """macro() of what per_query() or per_labelled_query() returned for the same ks."""
+    spark = queries.sparkSession
+    each = queries.groupBy("k").agg(*[F.avg(a).alias(b) for a, b in (("precision", "precision"), ("recall", "recall"), ("f1", "f1"), ("ap", "map"), ("rr", "mrr"), ("ndcg", "ndcg"), ("hit", "hit_rate"))])
     wanted = spark.createDataFrame([(k,) for k in ks], "k int")
     return wanted.join(each, "k", "left").fillna(0.0)
 
