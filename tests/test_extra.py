@@ -367,3 +367,45 @@ def test_top_k_asks_in_passes(spark, monkeypatch):
         near = sorted((np.square(x[q] - x[i]).sum(), -i) for i in range(300) if i != q)[:6]
         want += [(q, rank + 1, -i) for rank, (_, i) in enumerate(near)]
     assert got == want
+
+
+def shuffled(df):
+    """Stages of the plan that move rows by key."""
+    return df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning")
+
+
+def all_pairs(x, ids, metric):
+    """The pairs i < j of different ids, by the sums that DuckDB makes."""
+    i, j = np.triu_indices(len(x), 1)
+    i, j = i[ids[i] != ids[j]], j[ids[i] != ids[j]]
+    value = blocks.pair_scores(metric, x[i], x[j])
+    return list(zip(np.minimum(ids[i], ids[j]).tolist(), np.maximum(ids[i], ids[j]).tolist(), value.tolist()))
+
+
+def pair_rows(spark, monkeypatch):
+    """Several parts and blocks; equal vectors, a doubled one, a zero one, a repeated id, far values, nulls."""
+    monkeypatch.setattr(blocks, "QUERY_ELEMENTS", 200)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+    x = np.random.default_rng(21).normal(size=(140, 4)).astype(np.float32).astype(float)
+    x[30:60], x[61], x[62], x[100:104] = x[3], 2 * x[60], 0, x[99]
+    ids = np.random.default_rng(22).permutation(140)
+    ids[1] = ids[0]
+    rows = [(int(i), [float(c) for c in v]) for i, v in zip(ids, x)] + [(900, None), (901, [float("nan")] * 4)]
+    return x, ids, spark.createDataFrame(rows, "id int, v array<double>").repartition(3)
+
+
+@pytest.mark.parametrize("k", [1, 9, 600])
+def test_scaled_distances_without_a_shuffle(spark, monkeypatch, k):
+    x, ids, df = pair_rows(spark, monkeypatch)
+    pairs = all_pairs(x, ids, "l2")
+    most = max(p[2] for p in pairs)
+    got = search.scaled_euclidean(df, k)
+    assert shuffled(got) == 0 and got.schema["i"].dataType.typeName() == "integer"
+    assert [tuple(r) for r in got.collect()] == [(i, j, 1 - d / most) for i, j, d in sorted(pairs, key=lambda p: (p[2], p[0], p[1]))[:k]]
+
+
+def test_scaled_distances_beyond_floats(spark):
+    """Squares that leave the range of a float."""
+    x = [[1e18, 0.0], [1e18, 1e10], [0.0, 1e-20], [0.0, 0.0], [1e18, 3e18]]
+    got = search.scaled_euclidean(spark.createDataFrame(list(enumerate(x)), "id long, v array<double>"), 2).collect()
+    assert [(r["i"], r["j"], r["score"]) for r in got] == [(2, 3, 1.0), (0, 1, pytest.approx(1 - 1e10 / np.hypot(1e18, 3e18)))]
