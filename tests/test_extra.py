@@ -409,3 +409,13 @@ def test_scaled_distances_beyond_floats(spark):
     x = [[1e18, 0.0], [1e18, 1e10], [0.0, 1e-20], [0.0, 0.0], [1e18, 3e18]]
     got = search.scaled_euclidean(spark.createDataFrame(list(enumerate(x)), "id long, v array<double>"), 2).collect()
     assert [(r["i"], r["j"], r["score"]) for r in got] == [(2, 3, 1.0), (0, 1, pytest.approx(1 - 1e10 / np.hypot(1e18, 3e18)))]
+
+
+@pytest.mark.parametrize("k", [1, 9, 600])
+def test_top_pairs_of_copies_tie(spark, monkeypatch, k):
+    """Copies have a cosine of exactly 1, so ids decide between them; nothing is shuffled."""
+    x, ids, df = pair_rows(spark, monkeypatch)
+    want = sorted(all_pairs(x, ids, "cosine"), key=lambda p: (-p[2], -p[0], -p[1]))[:k]
+    got = search.top_pairs(df, k)
+    assert shuffled(got) == 0
+    assert [tuple(r) for r in got.collect()] == want
