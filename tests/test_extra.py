@@ -419,3 +419,17 @@ def test_top_pairs_of_copies_tie(spark, monkeypatch, k):
     got = search.top_pairs(df, k)
     assert shuffled(got) == 0
     assert [tuple(r) for r in got.collect()] == want
+
+
+@pytest.mark.parametrize("copies", [2, 5])
+def test_best_pair_of_copies_has_the_smallest_ids(spark, monkeypatch, copies):
+    """Every vector has copies in other parts: the first ids of all win, whatever the rounding of their norms."""
+    monkeypatch.setattr(blocks, "QUERY_ELEMENTS", 400)
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 8)
+    x = np.random.default_rng(30).normal(size=(60, 5)).astype(np.float32).astype(float)
+    df = spark.createDataFrame([(1000 * c + i, [float(z) for z in v]) for c in range(copies) for i, v in enumerate(x)], "id long, v array<double>").repartition(3)
+    got = search.top_pairs(df, 1, ties="low")
+    assert shuffled(got) == 0 and [tuple(r) for r in got.collect()] == [(0, 1000, 1.0)]
+    high = [tuple(r) for r in search.top_pairs(df, 3).collect()]
+    last = 1000 * (copies - 2)
+    assert high == [(last + 59 - i, last + 1059 - i, 1.0) for i in range(3)]
